@@ -164,7 +164,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every linked id, the component being its least id.
+    """(id, component) of every linked id but the least of each component, which names it.
 
     Alternates stars until nothing changes: each id's larger neighbours, then its smaller
     ones and itself, go to its least neighbour.
