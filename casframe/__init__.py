@@ -1,0 +1 @@
+"""A Spark-native engine for versioned, content-addressed data."""

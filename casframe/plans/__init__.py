@@ -1,9 +1,5 @@
-"""Queries over the standard tables."""
+"""The operators as queries over the standard tables, with equivalent SQL."""
 
+from casframe.plans.registry import oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
