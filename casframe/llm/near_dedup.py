@@ -9,7 +9,7 @@ Documents with the same shingles are one node.  Bands of the signature put nodes
 into buckets.  Each bucket's members are compared with its hub, the member whose
 buckets are the fullest; where that leaves a bucket in several components, its
 members of different components are compared with each other, large buckets in
-blocks whose signatures are compared first.  No member is dropped.
+pairs of blocks, within tasks that return links only.  No member is dropped.
 A link is confirmed on the full shingle sets.  Links are grouped by union-find
 within partitions, and by stars across them.
 
@@ -37,9 +37,9 @@ SIMILAR = (85, 100)
 #: At the threshold a link is missed with (1 - 0.85**ROWS)**BANDS = 2e-6, above it less.
 BANDS, ROWS = 28, 6
 #: A bucket with more members than this is compared in blocks of BLOCK.
-SMALL_BUCKET, BLOCK = 16, 128
-#: In blocks, pairs with a lower share of equal slots (6 standard deviations) are passed over.
-LEAST_EQUAL = 0.685
+SMALL_BUCKET, BLOCK = 16, 256
+#: Shingles counted at a time when two blocks are compared.
+COLUMNS = 1 << 14
 
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -94,7 +94,7 @@ def bands_of(held: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the shingle set), bands and signature of every row."""
+    """doc_id, n_shingles, node (128-bit hash of the shingle set) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -103,18 +103,17 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sets = [shingle_hashes((t or b"").lower().split(), known) for t in part]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
-                keys, sigs, nodes = [None] * len(part), [None] * len(part), [None] * len(part)
+                keys, nodes = [None] * len(part), [None] * len(part)
                 if len(full):
                     held = signatures(np.concatenate(sets), np.repeat(np.arange(len(full)), sizes[full]), len(full), BANDS * ROWS)
-                    short = (held ^ (held >> _32)).astype(np.uint16)
-                    for i, key, sig in zip(full, bands_of(held).view(np.int64), short, strict=True):
-                        keys[i], sigs[i], nodes[i] = key, sig.tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
+                    for i, key in zip(full, bands_of(held).view(np.int64), strict=True):
+                        keys[i], nodes[i] = key, xxhash.xxh3_128_digest(sets[i].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "bands", "signature"],
+                    [b.column(0).slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "node", "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, node binary, bands array<bigint>, signature binary"
+    schema = "doc_id long, n_shingles long, node binary, bands array<bigint>"
     return docs.select("doc_id", text_bytes()).mapInArrow(run, schema)
 
 
@@ -183,28 +182,59 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def _block_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of different components within one block, or between two, whose signatures are near."""
-    ids, comps = np.array(group["rep"]), np.array(group["component"])
-    sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
-    blocks = np.array(group["own"])
-    low, high = group["low"][0].as_py(), group["high"][0].as_py()
-    a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-    found: list[tuple[int, int]] = []
-    for i in a:
-        near = b[(comps[b] != comps[i]) & ((low != high) | (ids[b] > ids[i]))]
-        near = near[(sig[near] == sig[i]).mean(axis=1) >= LEAST_EQUAL] if len(near) else near
-        found += [(int(ids[i]), int(ids[j])) for j in near]
-    x = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(x.min(axis=1) if len(x) else x[:, 0]), "b": pa.array(x.max(axis=1) if len(x) else x[:, 0])})
+_KNOWN = WordHashes()  # of this worker
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, as products of 0/1 matrices."""
+    rows = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, column, n = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    shared = n > 1  # the others are in no intersection
+    place = np.cumsum(shared) - 1
+    rows, column = rows[shared[column]], place[column[shared[column]]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        now = (column >= start) & (column < start + COLUMNS)
+        m = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        m[rows[now], column[now] - start] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links between different components within one block, or between two.
+
+    Pairs that meet in an earlier band are left to that band's bucket.
+    """
+    ids, comps, own = (np.array(group[c]) for c in ("rep", "component", "own"))
+    bands = np.array(group["bands"].to_pylist(), np.int64)
+    low, high, bucket = (group[c][0].as_py() for c in ("low", "high", "bucket"))
+    a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    todo = comps[a][:, None] != comps[b][None, :]
+    if low == high:
+        todo &= ids[a][:, None] < ids[b][None, :]
+    for i in range(int((bands[0] == bucket).argmax()) if len(ids) else 0):
+        todo &= bands[a, i][:, None] != bands[b, i][None, :]
+    a, b, todo = a[todo.any(axis=1)], b[todo.any(axis=0)], todo[todo.any(axis=1)][:, todo.any(axis=0)]
+    found = np.zeros((0, 2), np.int64)
+    if len(a):
+        texts = group["t"].take(pa.array(np.concatenate([a, b]))).to_pylist()
+        sets = [shingle_hashes((t or b"").lower().split(), _KNOWN) for t in texts]
+        x, y = sets[: len(a)], sets[len(a) :]
+        common = common_counts(x, y)
+        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+        i, j = np.nonzero(todo & (SIMILAR[1] * common >= SIMILAR[0] * union))
+        found = np.stack([ids[a[i]], ids[b[j]]], axis=1)
+        found = found[found[:, 0] != found[:, 1]]
+    return pa.table({"a": pa.array(found.min(axis=1) if len(found) else found[:, 0]), "b": pa.array(found.max(axis=1) if len(found) else found[:, 0])})
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = cut(sketch(docs))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    members = cut(rows.drop("bands", "signature").join(nodes, "node", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = rows.join(nodes, (rows.node == nodes.node) & (rows.doc_id == nodes.rep)).select("rep", "bands", "signature")
+    members = cut(rows.drop("bands").join(nodes, "node", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    reps = rows.join(nodes, (rows.node == nodes.node) & (rows.doc_id == nodes.rep)).select("rep", "bands")
 
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -224,15 +254,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         few = rest.where(F.col("n") <= SMALL_BUCKET)
         x = few.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
         y = few.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        pairs = x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b")
+        pairs = cut(x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        more = verified(pairs, docs)
         many = rest.where(F.col("n") > SMALL_BUCKET)
         if not many.isEmpty():
+            texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("t")).join(reps.select("rep", "bands"), "rep")
             many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-            many = many.join(reps.select("rep", "signature"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            many = many.select("bucket", "rep", "component", "signature", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-            pairs = pairs.unionByName(many.groupBy("bucket", "low", "high").applyInArrow(_block_pairs, "a long, b long"))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = cut(verified(pairs, docs))
+            many = many.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            many = many.select("bucket", "rep", "component", "bands", "t", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+            more = more.unionByName(many.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a long, b long"))
+        more = cut(more)
         if not more.isEmpty():
             comp = cut(components(links.unionByName(more)))
 
