@@ -14,8 +14,9 @@ from casframe.operators import search
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and users by window and type; users are exact in batches and approximate in streams."""
     users = F.approx_count_distinct("user_id") if events.isStreaming else F.count_distinct("user_id")
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), users.alias("users")).select(F.col("w.start").alias("start"), "event_type", "n", "users")
+    kind = dict(events.dtypes)["ts"]
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), users.alias("users")).select(F.col("w.start").cast(kind).alias("start"), "event_type", "n", "users")
 
 
 def follow_blobs(blobs: DataFrame, index_path: str, checkpoint: str):
