@@ -56,32 +56,41 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.vocabulary, self.merges = Vocabulary(ranks), ranks
         self.find = regex.compile(pattern).findall
+        self.decimal = {i: b"%d" % i for i in ranks.values()}
+        # Pre-tokens of now and of before: when the first is full it becomes the second, so that frequent ones stay.
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.before: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merge(self, token: bytes) -> list[int]:
-        """Ranks of the parts that are left when no two neighbours can be merged."""
+        """Ranks of the parts that are left when no two neighbours can be merged.
+
+        ends[i] is the end of the part that starts at i, 0 where none does.  A heap item
+        is a merge's rank, start and end in one number.
+        """
         n, rank = len(token), self.merges.get
-        ends = list(range(1, n + 1))
-        after, before = ends.copy(), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 2 * bits | i << bits | i + 2 for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = heapq.heappop(heap)
-            j = after[i]
-            if not ends[i] or j >= n or ends[j] != end:
+            item = pop(heap)
+            i, end = item >> bits & mask, item & mask
+            j = ends[i]
+            if not j or j >= n or ends[j] != end:
                 continue  # one of the two has changed since
             ends[i], ends[j] = end, 0
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank(token[i : ends[k]])) is not None:
-                    heapq.heappush(heap, (r, i, ends[k]))
+            if end < n:
+                before[end] = i
+                if (r := rank(token[i : ends[end]])) is not None:
+                    push(heap, r << 2 * bits | i << bits | ends[end])
             if (h := before[i]) >= 0 and (r := rank(token[h:end])) is not None:
-                heapq.heappush(heap, (r, h, end))
+                push(heap, r << 2 * bits | h << bits | end)
         out, i = [], 0
         while i < n:
             out.append(self.merges[token[i : ends[i]]])
-            i = after[i]
+            i = ends[i]
         return out
 
     def tokens_of(self, tokens: list[str]) -> list[list[int]]:
@@ -94,23 +103,40 @@ class Encoder:
 
     def learn(self, tokens: set[str]) -> None:
         """Remember pre-tokens: number of ids, the ids as text, and the bytes they decode to."""
-        new = [t for t in tokens if t not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = list(tokens)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.before = {}, self.known
+        known, before, decimal = self.known, self.before, self.decimal.__getitem__
+        new = []
+        for token in tokens.difference(known):
+            if token in before:
+                known[token] = before[token]
+            else:
+                new.append(token)
         for token, ids in zip(new, self.tokens_of(new), strict=True):
-            self.known[token] = (len(ids), b" ".join(b"%d" % i for i in ids), self.decode(ids))
+            known[token] = (len(ids), b" ".join(map(decimal, ids)), self.decode(ids))
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.tokens_of(self.find(text)) for i in ids]
 
 
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
+
+
+def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """This worker's encoder for a vocabulary: tasks that follow each other share what it has learned."""
+    key = (hash(frozenset(ranks.items())), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(ranks, pattern)
+    return _ENCODERS[key]
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(*shared.value)
         for b in batches:
             for start, part in slices(b.column(1)):
                 tokens = [encoder.find((t or b"").decode("utf-8", "replace")) for t in part]
