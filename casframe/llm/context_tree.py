@@ -1,12 +1,14 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A byte is eight binary decisions, one for each prefix of its bits.  Each decision
-has a tree of contexts: none, the last byte, the last two.  Every node holds a
-Krichevsky-Trofimov estimate, and a node's weighted probability is half its own
-estimate's and half the product of its children's.  Learned over a corpus
-and then held fixed, the mixture gives each byte in each context a probability, so
-scoring is one table lookup for each byte.  The table has 256 ** 3 cells at
-most, whatever the corpus: that is the depth whose table has a size proven in advance.
+has a tree of contexts: none, the last byte, the last two, three and four.  Every node holds
+a Krichevsky-Trofimov estimate, and a node's weighted probability is half its own
+estimate's and half the product of its children's.  All contexts of up to two
+bytes are nodes; of three and four bytes the most frequent ones, and what follows a
+node in other contexts is one more child of it.  Learned over a corpus and then held
+fixed, the mixture gives each byte in each context a probability, so the model is
+a table with one row of 256 for each context: CONTEXTS + 256 + DEEP[3] + DEEP[4]
+rows at most, whatever the corpus, and far fewer where few pairs of bytes occur.
 
 Next to it stands a word unigram score.  Words are counted over the whole
 training part; the most frequent TOP_WORDS travel to the scorers, the others meet
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,10 @@ TOP_WORDS = 1 << 17
 #: One in FOLDS is held out: those whose crc32 leaves HELD.
 FOLDS, HELD = 5, 1
 
+#: Bytes of context, the contexts of two bytes, and the nodes of three and of four bytes at most.
+DEPTH = 4
 CONTEXTS = 1 << 16
+DEEP = {3: 1 << 14, 4: 1 << 15}
 END = b"\xff"
 END_KEY = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 _GRAM, _WORD = 0, 1
@@ -50,14 +56,25 @@ def held_out():
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and end of the texts the two bytes before and itself, as one number; and where texts start."""
-    joined = np.frombuffer(END + END + b"".join(x for t in texts for x in (t, END, END)), np.uint8).astype(np.uint32)
-    number = (joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:]
-    sizes = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
+    """For each byte and end of the texts the bytes before and itself, as one number; and where texts start."""
+    pad = END * DEPTH
+    x = np.frombuffer(pad + b"".join(part for t in texts for part in (t, pad)), np.uint8).astype(np.int64)
+    n = len(x) - DEPTH
+    number = np.zeros(n, np.int64)
+    for back in range(DEPTH, -1, -1):
+        number = number << 8 | x[DEPTH - back : DEPTH - back + n]
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     starts = np.cumsum(sizes) - sizes
-    keep = np.ones(len(number), bool)
-    keep[(starts + sizes - 1)[(starts + sizes - 1) < len(number)]] = False  # the second end is the next text's context only
-    return number[keep], np.cumsum(sizes - 1) - (sizes - 1)
+    inside = np.repeat(np.arange(len(texts)) * (DEPTH - 1), sizes)  # the other ends of a text are the next one's context only
+    return number[np.arange(len(inside)) + inside], starts
+
+
+#: Byte runs that a task counts before it passes them on.
+GRAM_ENTRIES = 1_000_000
+
+
+def _columns(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
 
 
 def _lower(part: list[bytes | None]) -> list[bytes]:
@@ -65,10 +82,10 @@ def _lower(part: list[bytes | None]) -> list[bytes]:
 
 
 def training_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): byte triples and words of all training rows, added up."""
+    """(kind, key, n): runs of DEPTH + 1 bytes and words of all training rows, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CONTEXTS * 256, np.uint32)
+        table: dict[int, int] = {}
         words: Counter[bytes] = Counter()
         ends = 0
 
@@ -85,15 +102,18 @@ def training_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for _, part in slices(b.column(0)):
                 texts = _lower(part)
-                np.add.at(table, grams(texts)[0], 1)
+                for k, n in zip(*(x.tolist() for x in np.unique(grams(texts)[0], return_counts=True)), strict=True):
+                    table[k] = table.get(k, 0) + n
+                if len(table) > GRAM_ENTRIES:
+                    yield from rows(_GRAM, *_columns(table))
+                    table.clear()
                 ends += len(texts)
                 for t in texts:
                     words.update(t.split())
                 if len(words) > CACHE_ENTRIES:
                     yield from counted()
         yield from counted()
-        seen = np.flatnonzero(table)
-        yield from rows(_GRAM, seen, table[seen])
+        yield from rows(_GRAM, *_columns(table))
         if ends:
             yield from rows(_WORD, np.array([END_KEY], np.uint64).view(np.int64), np.array([ends]))
 
@@ -102,25 +122,31 @@ def training_counts(docs: DataFrame) -> DataFrame:
 
 
 
-def _log_gamma_half(n: np.ndarray) -> np.ndarray:
-    """log gamma(n + 1/2) - log gamma(1/2) for whole n >= 0."""
-    return _series(n + 0.5) - 0.5 * math.log(math.pi)
+#: log gamma(n + 1/2) - log gamma(1/2), and log gamma(n + 1), of small n; larger n go by Stirling's series.
+_SMALL = 1 << 12
+_HALF = np.array([math.lgamma(n + 0.5) - math.lgamma(0.5) for n in range(_SMALL)])
+_WHOLE = np.array([math.lgamma(n + 1.0) for n in range(_SMALL)])
 
 
-def _series(x: np.ndarray) -> np.ndarray:
-    """log gamma(x) for x > 0: Stirling's series from 10 on, to which smaller x are lifted."""
-    lift = np.zeros_like(x)
-    x = x.copy()
-    while (low := x < 10).any():
-        lift[low] += np.log(x[low])
-        x[low] += 1
-    r = 1 / (x * x)
-    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x - lift
+def _log_gamma(n: np.ndarray, table: np.ndarray, shift: float, less: float) -> np.ndarray:
+    """log gamma(n + shift) - less of whole n >= 0, the table having it for small ones."""
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = n >= _SMALL
+    if large.any():
+        x = n[large] + shift
+        r = 1 / (x * x)
+        out[large] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r / 1260)) / x - less
+    return out
 
 
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return _log_gamma_half(n0) + _log_gamma_half(n1) - _series(n0 + n1 + 1.0)
+    out = np.zeros(n0.shape)
+    some = (n0 + n1) > 0
+    a, b = n0[some], n1[some]
+    half = math.lgamma(0.5)
+    out[some] = _log_gamma(a, _HALF, 0.5, half) + _log_gamma(b, _HALF, 0.5, half) - _log_gamma(a + b, _WHOLE, 1.0, 0.0)
+    return out
 
 
 def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,59 +168,170 @@ def byte_log10(ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def compile_table(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 P(byte | two bytes before) for every triple, of counts given for the seen triples."""
-    order = np.argsort((keys >> 8) & 255, kind="stable")
-    keys, n = keys[order], n[order]
-    bounds = np.searchsorted((keys >> 8) & 255, np.arange(257))
-    kt = lambda a: (a[1] + 0.5) / (a[0] + a[1] + 1.0)
-    one = np.zeros((256, 256))  # counts by last byte
-    np.add.at(one, ((keys >> 8) & 255, keys & 255), n)
-
-    def deep(last: int) -> tuple[np.ndarray, np.ndarray]:
-        own = slice(bounds[last], bounds[last + 1])
-        two = np.zeros((256, 256))
-        np.add.at(two, (keys[own] >> 16, keys[own] & 255), n[own])
-        return decisions(two)
-
+@dataclass
+class Model:
+    """log10 P(byte | context): rows, and which row a context of 2, 3 or 4 bytes has."""
+
+    rows: np.ndarray
+    pairs: np.ndarray  # row of each two bytes
+    deep: dict[int, tuple[np.ndarray, int]]  # by depth the sorted contexts, and the first one's row
+
+    def log10(self, number: np.ndarray) -> np.ndarray:
+        """Of the last byte of each number after the others; runs that occur often are looked up once."""
+        runs, at = np.unique(number, return_inverse=True)
+        context = runs >> 8
+        row = self.pairs[context & 0xFFFF].astype(np.int64)
+        for depth, (known, first) in sorted(self.deep.items()):
+            own = context & ((1 << 8 * depth) - 1)
+            place = np.searchsorted(known, own)
+            if len(known):
+                hit = known[np.minimum(place, len(known) - 1)] == own
+                row[hit] = first + place[hit]
+        return self.rows[row, runs & 255].astype(float)[at]
+
+
+def _kt(n: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return (n[1] + 0.5) / (n[0] + n[1] + 1.0)
+
+
+class _Node:
+    """Estimates of the contexts of one depth that end in one byte, by row, with their children."""
+
+    def __init__(self, counts: np.ndarray, parent: np.ndarray | None = None, below: _Node | None = None) -> None:
+        self.parent, self.below = parent, below
+        self.n = decisions(counts)
+        own = _log_kt(*self.n)
+        self.rest, self.stay, self.weight = None, np.ones_like(own), own
+        if below is not None and len(below.parent):
+            rest = counts.astype(float)
+            np.subtract.at(rest, below.parent, below.counts)
+            self.rest = decisions(rest)
+            children = _log_kt(*self.rest)
+            np.add.at(children, below.parent, below.weight)
+            held = np.bincount(below.parent, minlength=len(counts)) > 0
+            both = np.logaddexp(own, children) - math.log(2)
+            self.weight = np.where(held[:, None], both, own)
+            self.stay = np.where(held[:, None], np.exp(own - math.log(2) - both), 1.0)
+        self.counts = counts
+
+    def mixed(self, above) -> Iterator[tuple[int, np.ndarray]]:
+        """(levels below this one, probabilities of a one): of contexts that end here, and of all nodes below."""
+        keep, gone = self.stay * _kt(self.n), 1 - self.stay
+        last = keep if self.rest is None else keep + gone * _kt(self.rest)
+        yield 0, above(last, slice(None))
+        if self.below is not None and len(self.below.parent):
+            up = self.below.parent
+            for level, p in self.below.mixed(lambda x, i: above(keep[up[i]] + gone[up[i]] * x, up[i])):
+                yield level + 1, p
+
+
+def compile_model(pairs: tuple[np.ndarray, np.ndarray], deep: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """The table of a tree: pairs are counts of three-byte runs, deep by depth the nodes' sorted contexts,
+    and counts of the runs of one byte more that begin with them.
+    """
+    keys, n = pairs
+    last_of = (keys >> 8) & 255
+    one = np.zeros((256, 256))
+    np.add.at(one, (last_of, keys & 255), n)
     d1, d0 = decisions(one), decisions(one.sum(axis=0))
-    children = np.stack([_log_kt(*deep(last)).sum(axis=0) for last in range(256)])
-    e1 = _log_kt(*d1)
+
+    def counted(contexts: np.ndarray, runs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(contexts), 256))
+        at = np.searchsorted(contexts, runs >> 8)
+        np.add.at(out, (at, runs & 255), n)
+        return out
+
+    seen = np.unique(keys >> 8)
+    by_last = {2: (seen, keys, n), **deep}
+    parts = {}
+    for depth, (contexts, runs, times) in by_last.items():
+        order = np.argsort(contexts & 255, kind="stable")
+        runs_order = np.argsort((runs >> 8) & 255, kind="stable")
+        parts[depth] = (contexts[order], np.searchsorted(contexts[order] & 255, np.arange(257)), runs[runs_order], times[runs_order], np.searchsorted((runs[runs_order] >> 8) & 255, np.arange(257)))
+
+    def tree(last: int) -> tuple[list[np.ndarray], _Node]:
+        """The contexts by depth, from two bytes on, and the node of the shortest."""
+        own, counts = [], []
+        for depth in sorted(parts):
+            contexts, starts, runs, times, run_starts = parts[depth]
+            c, r = contexts[starts[last] : starts[last + 1]], slice(run_starts[last], run_starts[last + 1])
+            own.append(c)
+            counts.append(counted(c, runs[r], times[r]))
+        node = None
+        for depth in range(max(parts), 1, -1):
+            c = own[depth - 2]
+            up = np.searchsorted(own[depth - 3], c & ((1 << 8 * (depth - 1)) - 1)) if depth > 2 else None
+            node = _Node(counts[depth - 2], up, node)
+        return own, node
+
+    children = np.stack([tree(last)[1].weight.sum(axis=0) for last in range(256)])
+    e1, e0 = _log_kt(*d1), _log_kt(*d0)
     w1 = np.logaddexp(e1, children) - math.log(2)
     stay1 = np.exp(e1 - math.log(2) - w1)
-    e0 = _log_kt(*d0)
     stay0 = np.exp(e0 - np.logaddexp(e0, w1.sum(axis=0)))
-    out = np.empty((256, 256, 256), np.float32)  # [two back, last, byte]
+    first = {2: 256}
+    for depth in sorted(parts)[1:]:
+        first[depth] = first[depth - 1] + len(parts[depth - 1][0])
+    rows = np.empty((first[max(parts)] + len(parts[max(parts)][0]), 256), np.float32)
+    table = np.tile(np.arange(256, dtype=np.int32), 256)  # pairs not seen share their last byte's row
     for last in range(256):
-        p = stay1[last] * kt((d1[0][last], d1[1][last])) + (1 - stay1[last]) * kt(deep(last))
-        p = stay0 * kt(d0) + (1 - stay0) * p
-        out[:, last] = byte_log10(p)
-    return out.reshape(-1)
+        own, node = tree(last)
+
+        def above(x: np.ndarray, _, last: int = last) -> np.ndarray:
+            p = stay1[last] * _kt((d1[0][last], d1[1][last])) + (1 - stay1[last]) * x
+            return stay0 * _kt(d0) + (1 - stay0) * p
+
+        rows[last] = byte_log10(above(np.full(256, 0.5), None))
+        for level, p in node.mixed(above):
+            at = first[level + 2] + np.searchsorted(by_last[level + 2][0], own[level])
+            rows[at] = byte_log10(p)
+            if not level:
+                table[own[0]] = at
+    return Model(rows, table, {d: (by_last[d][0], first[d]) for d in deep})
+
+
+def learn(counts: DataFrame) -> Model:
+    """The model of training_counts."""
+    runs = counts.where(f"kind = {_GRAM}").select("key", "n")
+    byte = F.col("key").bitwiseAND(255)
+    context = lambda depth: F.shiftright("key", 8).bitwiseAND((1 << 8 * depth) - 1)
+    column = lambda t, c: t[c].to_numpy().astype(np.int64)
+    triples = runs.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 256 ** 3 rows at most
+    deep, above = {}, None
+    for depth, most in sorted(DEEP.items()):
+        nodes = runs.groupBy(context(depth).alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(most)
+        own = runs.withColumn("c", context(depth)).join(F.broadcast(nodes), "c").groupBy("c", byte.alias("b")).agg(F.sum("n").alias("n")).toArrow()  # 256 rows for each node at most
+        c, b, n = column(own, "c"), column(own, "b"), column(own, "n")
+        if above is not None:  # a node's shorter context is a node too
+            inside = np.isin(c & ((1 << 8 * (depth - 1)) - 1), above)
+            c, b, n = c[inside], b[inside], n[inside]
+        above = np.unique(c)
+        deep[depth] = (above, c << 8 | b, n)
+    return compile_model((column(triples, "key"), column(triples, "n")), deep)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     counts = cut(training_counts(docs))
-    seen = counts.where(f"kind = {_GRAM}").select("key", "n").toArrow()  # 256 ** 3 rows at most
-    log10 = compile_table(seen["key"].to_numpy(), seen["n"].to_numpy())
+    tree = learn(counts)
     words = counts.where(f"kind = {_WORD}").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("n"), "key").limit(TOP_WORDS).toArrow()
     keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
     below = total + 0.5 * (distinct + 1)
-    shared = spark.sparkContext.broadcast((log10, keys[order], np.log10((n[order] + 0.5) / below)))
+    shared = spark.sparkContext.broadcast((tree, keys[order], np.log10((n[order] + 0.5) / below)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known_keys, known_log10 = shared.value
+        tree, known_keys, known_log10 = shared.value
         known = WordHashes()
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             for start, part in slices(b.column(2)):
                 texts = _lower(part)
                 number, starts = grams(texts)
-                model = np.add.reduceat(table[number].astype(float), starts)
+                model = np.add.reduceat(tree.log10(number), starts)
                 tokens, found, base, rare, times = [], [], [], [], []
                 for t in texts:
                     k, c = np.unique(np.append(known.of(t.split()), np.uint64(END_KEY)), return_counts=True)

@@ -135,60 +135,86 @@ def test_order_of_floats():
     assert (np.diff(importance.sortable(x).astype(object)) > 0).all()
 
 
-def ctw(train, texts):
-    """The textbook recursion: log10 probabilities of each text after a training sequence, held fixed."""
-    n = defaultdict(lambda: [0, 0])
+def ctw(train, texts, most=None):
+    """The textbook recursion: log10 probabilities of each text after a training sequence, held fixed.
+
+    most: how many contexts of three and four bytes are nodes, by count; the other contexts
+    below a node are one child, None.
+    """
+    pad, depth = b"\xff" * 4, 4
+    seen = Counter(s[i - d : i] for t in train for s in [pad + t + b"\xff"] for i in range(4, len(s)) for d in (3, 4))
+    kept = {}
+    for d in (3, 4):
+        own = sorted((c for c in seen if len(c) == d), key=lambda c: (-seen[c], c))
+        own = own[: (most or {}).get(d, len(own))]
+        kept[d] = {c for c in own if d == 3 or c[1:] in kept[3]}
+
+    def path(before):
+        """Contexts of a position, the shortest first; the rest of a node stands for those that are no nodes."""
+        out = [before[4 - d :] for d in range(3)]
+        for d in (3, 4):
+            c = before[4 - d :]
+            if c in kept[d]:
+                out.append(c)
+            else:
+                if any(k[1:] == out[-1] for k in kept[d]):
+                    out.append((out[-1], None))
+                break
+        return out
 
     def visits(text):
-        s = b"\xff\xff" + text + b"\xff"
-        for i in range(2, len(s)):
-            prefix = 1
+        s = pad + text + b"\xff"
+        for i in range(4, len(s)):
+            prefix, nodes = 1, path(s[i - 4 : i])
             for bit in (s[i] >> k & 1 for k in range(7, -1, -1)):
-                yield [(prefix, s[i - d : i]) for d in range(3)], bit
+                yield [(prefix, c) for c in nodes], bit
                 prefix = prefix * 2 + bit
 
+    lg = math.lgamma
+    kt = lambda a, b: lg(a + 0.5) + lg(b + 0.5) - 2 * lg(0.5) - lg(a + b + 1)
+    n, child = defaultdict(lambda: [0, 0]), defaultdict(set)
     for t in train:
         for nodes, bit in visits(t):
             for x in nodes:
                 n[x][bit] += 1
-    lg = math.lgamma
-    kt = lambda a, b: lg(a + 0.5) + lg(b + 0.5) - 2 * lg(0.5) - lg(a + b + 1)
-    weighted = {x: kt(*v) for x, v in n.items() if len(x[1]) == 2}
-    for depth in (1, 0):
-        kids = defaultdict(float)
-        for (p, c), _ in n.items():
-            if len(c) == depth + 1:
-                kids[p, c[1:]] += weighted[p, c]
-        for x, v in n.items():
-            if len(x[1]) == depth:
-                weighted[x] = np.logaddexp(kt(*v), kids[x]) - math.log(2)
+            for x, y in zip(nodes, nodes[1:]):
+                child[x].add(y)
+
+    weighted = {}
+
+    def weight(x):
+        if x not in weighted:
+            own = kt(*n[x]) if x in n else 0.0
+            weighted[x] = np.logaddexp(own, sum(map(weight, child[x]))) - math.log(2) if x in child else own
+        return weighted[x]
+
     out = []
     for t in texts:
         total = 0.0
         for nodes, bit in visits(t):
             p = None
             for x in reversed(nodes):
-                a, b = n.get(x, (0, 0))
+                a, b = n[x] if x in n else (0, 0)
                 own = (b + 0.5) / (a + b + 1)
-                if p is None:
-                    p = own
-                else:
-                    stay = math.exp(kt(a, b) - math.log(2) - weighted[x]) if x in n else 0.5
-                    p = stay * own + (1 - stay) * p
+                stay = math.exp(kt(a, b) - math.log(2) - weight(x)) if x in child else 0.5
+                p = own if p is None else stay * own + (1 - stay) * p
             total += math.log10(p if bit else 1 - p)
         out.append(total)
     return out
 
 
-def test_context_tree_scores(spark, monkeypatch):
+@pytest.mark.parametrize("most", [None, {3: 40, 4: 30}, {3: 0, 4: 0}])
+def test_context_tree_scores(spark, monkeypatch, most):
     monkeypatch.setattr(context_tree, "TOP_WORDS", 5)  # most words go by the join
+    monkeypatch.setattr(context_tree, "DEEP", most or context_tree.DEEP)
+    monkeypatch.setattr(context_tree, "GRAM_ENTRIES", 100)
     rows = [(r.doc_id, r.text[:300]) for r in rows_of(spark, "documents").limit(12).collect()] + [(i, t and t[:200]) for i, t in ODD]
     got = context_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
     tokens = [[*words(lower(t)), None] for _, t in rows]
     counts = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
     total = sum(counts.values())
-    model = ctw([lower(t).encode() for (_, t), h in zip(rows, held, strict=True) if not h], [lower(t).encode() for _, t in rows])
+    model = ctw([lower(t).encode() for (_, t), h in zip(rows, held, strict=True) if not h], [lower(t).encode() for _, t in rows], most)
     want = []
     for (i, _), h, t, m in zip(rows, held, tokens, model, strict=True):
         s = sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (len(counts) + 1))) for x in t)
@@ -201,10 +227,21 @@ def test_context_tree_scores(spark, monkeypatch):
 
 
 def test_context_tree_is_a_distribution():
-    keys = np.array([0x616263, 0x616264, 0x206162])
-    p = 10.0 ** context_tree.compile_table(keys, np.array([5, 2, 9])).reshape(-1, 256).astype(float)
-    assert np.allclose(p[[0x6162, 0x2061, 0, 0x6100]].sum(axis=1), 1, atol=1e-4)
-    assert p[0x6162, 0x63] > p[0x6162, 0x64] > p[0x6162, 0x65]
+    runs, n = np.array([0x616263, 0x616264, 0x206162]), np.array([5, 2, 9])
+    deep = {3: (np.array([0x206162]), np.array([0x20616263, 0x20616264]), np.array([3, 2])), 4: (np.zeros(0, int),) * 3}
+    model = context_tree.compile_model((runs, n), deep)
+    p = lambda before: 10.0 ** model.log10((before << 8) | np.arange(256))
+    for before in (0x6162, 0x206162, 0x41206162, 0x2061, 0, 0x6100):
+        assert np.isclose(p(before).sum(), 1, atol=1e-4)
+    assert p(0x6162)[0x63] > p(0x6162)[0x64] > p(0x6162)[0x65]
+
+
+def test_deeper_contexts_predict_held_out_text_better(spark, monkeypatch):
+    docs = rows_of(spark, "documents").limit(400)
+    held = lambda: sum(r.score for r in context_tree.score(docs).where("held_out").collect())
+    deep = held()
+    monkeypatch.setattr(context_tree, "DEEP", {3: 0, 4: 0})
+    assert deep > held()
 
 
 def test_context_tree_without_training(spark):
