@@ -228,11 +228,11 @@ def commit_messages(spark, sf):
   SELECT strlen(text) AS n, CASE CAST(doc_id AS INT) % 4 WHEN 0 THEN 'legacy' WHEN 1 THEN 'full' WHEN 2 THEN 'delta' ELSE 'corrupt' END AS form FROM documents) GROUP BY form""")
 def form_stats(spark, sf):
     """Every document behind one of four kinds of first bytes; the forms are told from those."""
-    from casframe.sources.objects import forms
+    from casframe.sources.objects import form_counts
 
     head = F.element_at(F.array(F.lit("789C"), F.lit("53564F320102"), F.concat(F.lit("53564F320202"), F.repeat(F.lit("AB"), 32)), F.lit("53564F33FFFF")), (F.col("doc_id") % 4 + 1).cast("int"))
     files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.unhex(head), F.encode("text", "UTF-8")).alias("data"), F.octet_length("text").cast("long").alias("stored_bytes"))
-    return forms(files).groupBy("form").agg(F.count("*").alias("objects"), F.sum("stored_bytes").alias("bytes"))
+    return form_counts(files)
 
 
 @query(f"""WITH f AS (

@@ -182,9 +182,7 @@ class Repository:
         return written, self.spark.createDataFrame([(e.path, e.size, e.mtime_ns, e.dev, e.ino, e.blob_id) for e in entries], "path string, size long, mtime_ns long, dev long, ino long, blob_id string")
 
     def stored_ids(self) -> DataFrame:
-        if not store.has_objects(self.objects_dir):
-            return self.spark.createDataFrame([], "id string")
-        return store.stored_files(self.spark, self.objects_dir).select("id")
+        return store.stored_ids(self.spark, self.objects_dir)
 
     def scan(self) -> DataFrame:
         """The working tree's rows with blob_id; unchanged files are taken from the cache without being read."""

@@ -15,17 +15,42 @@ from casframe.functions import codecs, delta
 from casframe.operators.base import cut
 
 OBJECTS = "id string, type string, payload binary, size long, form string, base_id string, depth int, stored_bytes long, error string"
-_ID_PATH = re.compile(r"([0-9a-f]{2})/([0-9a-f]{62})$")
 
 
-def stored_files(spark: SparkSession, objects_dir: str) -> DataFrame:
-    """(id, data, stored_bytes) of every object file; a prefix of two digits prunes folders."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9a-f]" * 62).load(f"{objects_dir}/{'[0-9a-f]' * 2}/*")
-    return files.select(F.concat_ws("", F.regexp_extract("path", r"([0-9a-f]{2})/([0-9a-f]{62})$", 1), F.regexp_extract("path", r"([0-9a-f]{2})/([0-9a-f]{62})$", 2)).alias("id"), F.col("content").alias("data"), F.col("length").alias("stored_bytes"))
+def _id():
+    parts = [F.regexp_extract("path", r"([0-9a-f]{2})/([0-9a-f]{62})$", i) for i in (1, 2)]
+    return F.concat(*parts).alias("id")
+
+
+def stored_files(spark: SparkSession, objects_dir: str, prefix: str = "") -> DataFrame:
+    """(id, data, stored_bytes) of every object file whose id has the prefix; its first digits choose the folders that are listed."""
+    digit = "[0-9a-f]"
+    folder = "".join(prefix[i : i + 1] or digit for i in range(2))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", digit * 62).load(f"{objects_dir}/{folder}/*")
+    return files.select(_id(), F.col("content").alias("data"), F.col("length").alias("stored_bytes")).where(F.startswith("id", F.lit(prefix)))
+
+
+def stored_ids(spark: SparkSession, objects_dir: str, prefix: str = "") -> DataFrame:
+    """The ids alone, in order: no content is read."""
+    if not any(True for _ in object_folders(objects_dir, prefix[:2])):
+        return spark.createDataFrame([], "id string")
+    return stored_files(spark, objects_dir, prefix).select("id").orderBy("id")
+
+
+def form_counts(files: DataFrame) -> DataFrame:
+    """Objects and bytes of each form."""
+    return forms(files).groupBy("form").agg(F.count("*").alias("objects"), F.sum("stored_bytes").alias("bytes"))
+
+
+def object_folders(objects_dir: str, prefix: str = "") -> Iterator[str]:
+    """The folders with object files among those that begin with the prefix."""
+    for d in sorted(os.listdir(objects_dir)) if os.path.isdir(objects_dir) else ():
+        if re.fullmatch("[0-9a-f]{2}", d) and d.startswith(prefix) and any(re.fullmatch("[0-9a-f]{62}", f) for f in os.listdir(f"{objects_dir}/{d}")):
+            yield d
 
 
 def has_objects(objects_dir: str) -> bool:
-    return os.path.isdir(objects_dir) and any(_ID_PATH.search(f"{d}/{f}") for d in os.listdir(objects_dir) if os.path.isdir(f"{objects_dir}/{d}") for f in os.listdir(f"{objects_dir}/{d}"))
+    return next(object_folders(objects_dir), None) is not None
 
 
 def forms(files: DataFrame) -> DataFrame:

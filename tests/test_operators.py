@@ -255,6 +255,11 @@ def test_object_store(spark, tmp_path):
     forms = {r.id: (r.form, r.base_id) for r in store.forms(store.stored_files(spark, folder)).collect()}
     assert forms[ids[0]] == ("legacy", None) and forms[ids[1]] == ("delta", ids[0]) and forms["ff" * 32][0] == "corrupt"
     assert store.read_objects(spark, str(tmp_path / "none")).collect() == []
+    everything = sorted(got)
+    assert [r.id for r in store.stored_ids(spark, folder).collect()] == everything
+    for prefix in ("a", "aa", ids[0][:9], "0123"):
+        assert [r.id for r in store.stored_ids(spark, folder, prefix).collect()] == [i for i in everything if i.startswith(prefix)]
+    assert {r.form: r.objects for r in store.form_counts(store.stored_files(spark, folder)).collect()} == {"legacy": 2, "full": 1, "delta": 5, "corrupt": 1}
 
 
 def test_fsck_findings(spark, tmp_path):
