@@ -95,7 +95,7 @@ def normal_message(message: Column | str) -> Column:
 
 def human_bytes(n: Column | str) -> Column:
     n = col(n)
-    size = lambda power, unit: F.format_string("%.1f " + unit, n / float(1024**power))
+    size = lambda power, unit: F.format_string("%.1f " + unit, F.bround(n / float(1024**power), 1))  # noqa: E731  a half goes to the even digit
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024**2, size(1, "KB"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casframe.functions import hashing, text
+from casframe.functions import hashing, pdf, text
 from casframe.operators import diff, fsck, graph, locate, repack, search, trees
 from casframe.operators.base import cut
 from casframe.plans import tables
@@ -221,6 +221,24 @@ def commit_messages(spark, sf):
     return commits.select("id", F.length("message").cast("long").alias("n"), text.first_line("message").alias("first"), text.iso_timestamp("n", F.lit(500_000_000)).alias("date"))
 
 
+@query("WITH " + COMMITS_SQL + r""", p AS (
+  SELECT month, '53564331' || '"""
++ trees.empty_tree_id()
++ r"""' || '00000000' || lpad(to_hex(n), 16, '0') || '0000007b' || lpad(to_hex(strlen('Orders of ' || month)), 8, '0') || hex(encode('Orders of ' || month)) AS h FROM commits)
+SELECT month, sha256(encode('commit ' || (length(h) // 2)) || '\x00'::BLOB || unhex(h)) AS id FROM p""")
+def commit_object_ids(spark, sf):
+    """Every month as a commit of an empty tree, with its number of orders for a time: the ids of the encoded objects."""
+    rows = tables.month_commits(table(spark, sf, "orders"))
+    payload = hashing.commit_payload(F.lit(trees.empty_tree_id()), F.array().cast("array<string>"), F.col("n"), F.lit(123), F.col("message"))
+    return rows.select("month", hashing.object_id("commit", payload).alias("id"))
+
+
+@query("""SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size
+FROM (SELECT doc_id, n_chars * n_chars AS n FROM documents)""")
+def human_sizes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.human_bytes(F.col("n_chars") * F.col("n_chars")).alias("size"))
+
+
 # Stores and caches
 
 
@@ -334,16 +352,21 @@ def best_chunk_topk(spark, sf):
 _IS_SPACE = r"regexp_full_match(substr(text, {0}, 1), '[\x{{09}}-\x{{0d}} \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')"
 
 
-@query(f"""WITH RECURSIVE ends AS (
+def _ends_sql(rows: str) -> str:
+    """Start and stop of the chunks of rows (doc_id, text)."""
+    return f"""ends AS (
   SELECT doc_id, text, length(text) AS n, 0 AS start,
     CASE WHEN length(text) <= 1200 THEN length(text) ELSE coalesce((SELECT max(i) FROM range(1001, 1201) t(i) WHERE {_IS_SPACE.format('i')}), 1200) END AS stop
-  FROM documents WHERE length(text) > 0
+  FROM {rows} WHERE length(text) > 0
   UNION ALL
   SELECT doc_id, text, n, s AS start,
     CASE WHEN n <= s + 1200 THEN n ELSE coalesce((SELECT max(s + k) FROM range(1001, 1201) t(k) WHERE {_IS_SPACE.format('s + k')}), s + 1200) END
   FROM (SELECT doc_id, text, n, CASE WHEN stop - 200 <= start THEN stop
       ELSE coalesce((SELECT min(stop - 200 + k + 1) FROM range(0, 200) t(k) WHERE {_IS_SPACE.format('stop - 200 + k + 1')}), stop - 200) END AS s
-    FROM ends WHERE stop < n))
+    FROM ends WHERE stop < n))"""
+
+
+@query(f"""WITH RECURSIVE {_ends_sql('documents')}
 SELECT doc_id, CAST(start AS BIGINT) AS "start", CAST(stop AS BIGINT) AS "end" FROM ends""")
 def chunk_bounds(spark, sf):
     def run(batches):
@@ -417,7 +440,16 @@ def find_end_to_end(spark, sf):
     return best.join(where, "blob_id").select("blob_id", "path", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
-@query()
+_SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in pdf.SPACE)
+
+
+@query(f"""WITH RECURSIVE blobs AS (
+  SELECT min(doc_id) AS doc_id, any_value(text) AS text FROM documents WHERE {_PRINTABLE_SQL.format('text')} >= 0.9 GROUP BY {DIGEST_SQL}),
+ {_ends_sql('blobs')},
+ pieces AS (SELECT {DIGEST_SQL} AS blob_id, start, trim(substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)), {_SPACES_SQL}) AS text FROM ends)
+SELECT blob_id, CAST(row_number() OVER (PARTITION BY blob_id ORDER BY start) - 1 AS INT) AS seq, substr(translate(text, chr(10) || chr(13), '  '), 1, 160) AS snippet,
+  512 AS dim, CASE WHEN len({_TOKENS_SQL}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm2
+FROM pieces WHERE text <> ''""")
 def index_chunks(spark, sf):
     """All documents extracted, cut into chunks and embedded."""
     docs = table(spark, sf, "documents").select(hashing.blob_id("text").alias("blob_id"), F.encode("text", "UTF-8").alias("data")).dropDuplicates(["blob_id"])

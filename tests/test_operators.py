@@ -53,7 +53,7 @@ def test_text_columns(spark):
     assert values(spark, text.content_tokens("s"), [("the cat and the cat",)], "s string") == [["cat", "cat"]]
     assert values(spark, text.message_lines("s"), [("a\r\nb\rc\n",), ("",), ("x\n\n",)], "s string") == [["a", "b", "c"], [], ["x", ""]]
     assert values(spark, text.first_line("s"), [("a\nb",), ("",)], "s string") == ["a", ""]
-    assert values(spark, text.human_bytes("n"), [(0,), (1023,), (1024,), (1536,), (1 << 20,), (5 << 30,), (3 << 40,)], "n long") == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.0 MB", "5.0 GB", "3.0 TB"]
+    assert values(spark, text.human_bytes("n"), [(0,), (1023,), (1024,), (1536,), (1280,), (1 << 20,), (5 << 30,), (3 << 40,)], "n long") == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.2 KB", "1.0 MB", "5.0 GB", "3.0 TB"]
     assert values(spark, text.iso_timestamp("s", "n"), [(1700000000, 123456789), (0, 0), (60, 500000000)], "s long, n int") == ["2023-11-14T22:13:20.123456789Z", "1970-01-01T00:00:00Z", "1970-01-01T00:01:00.5Z"]
     assert values(spark, text.printable_path("s"), [("a\tb\\c\r\n\x1b",)], "s string") == ["a\\tb\\\\c\\r\\n\x1b"]
     assert values(spark, text.printable_snippet("s"), [("\x1b[0m\u00e9",)], "s string") == ["\\x1b[0m\u00e9"]
