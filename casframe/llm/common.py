@@ -90,3 +90,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """All rows of distinct doc_id, or about so many of them, chosen by hash: no task gathers more than its own."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < int((1 << 40) * most / n))
+
+
+def kth_largest(rows: DataFrame, key: str, k: int) -> int | None:
+    """The k-th largest of a long column, by passes over counts of 16 bits each; null where there are fewer."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if k <= 0 or low is None:
+        return None
+    bits = max(int(low).bit_length(), int(high).bit_length()) if low >= 0 else 64
+    prefix, rest = None, k
+    for shift in range(16 * max(-(-bits // 16) - 1, 0), -1, -16):
+        some = rows if prefix is None else rows.where(F.shiftright(key, shift + 16) == prefix)
+        for row in sorted(some.groupBy(F.shiftright(key, shift).alias("d")).count().collect(), reverse=True):  # 65,536 rows at most
+            if row["count"] >= rest:
+                prefix = row["d"]
+                break
+            rest -= row["count"]
+        else:
+            return None
+    return prefix

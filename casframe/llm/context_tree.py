@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casframe.llm.common import CACHE_ENTRIES, WordHashes, cut, slices, text_bytes
+from casframe.llm.common import CACHE_ENTRIES, WordHashes, cut, kth_largest, slices, text_bytes
 
 #: Words whose counts are sent to every scorer: 16 bytes each.
 TOP_WORDS = 1 << 17
@@ -290,6 +290,14 @@ def compile_model(pairs: tuple[np.ndarray, np.ndarray], deep: dict[int, tuple[np
     return Model(rows, table, {d: (by_last[d][0], first[d]) for d in deep})
 
 
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts: all if there are no more than most, else those above the next one's."""
+    if not most:
+        return rows.limit(0)
+    least = kth_largest(rows, count, most + 1)
+    return rows if least is None else rows.where(F.col(count) > F.lit(least))
+
+
 def learn(counts: DataFrame) -> Model:
     """The model of training_counts."""
     runs = counts.where(f"kind = {_GRAM}").select("key", "n")
@@ -299,7 +307,7 @@ def learn(counts: DataFrame) -> Model:
     triples = runs.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 256 ** 3 rows at most
     deep, above = {}, None
     for depth, most in sorted(DEEP.items()):
-        nodes = runs.groupBy(context(depth).alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(most)
+        nodes = most_frequent(cut(runs.groupBy(context(depth).alias("c")).agg(F.sum("n").alias("m"))), "m", most)
         own = runs.withColumn("c", context(depth)).join(F.broadcast(nodes), "c").groupBy("c", byte.alias("b")).agg(F.sum("n").alias("n")).toArrow()  # 256 rows for each node at most
         c, b, n = column(own, "c"), column(own, "b"), column(own, "n")
         if above is not None:  # a node's shorter context is a node too
@@ -317,7 +325,7 @@ def score(docs: DataFrame) -> DataFrame:
     tree = learn(counts)
     words = counts.where(f"kind = {_WORD}").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(TOP_WORDS).toArrow()
+    top = most_frequent(words, "n", TOP_WORDS).toArrow()
     keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
     below = total + 0.5 * (distinct + 1)

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casframe.llm.common import WordHashes, cut, mix64, slices, stream64, text_bytes
+from casframe.llm.common import WordHashes, bounded_sample, cut, kth_largest, mix64, slices, stream64, text_bytes
 
 #: Buckets of the hashed n-grams, and the words in an n-gram at most.
 BUCKETS, NGRAM = 10_000, 2
-#: Good labelled rows, least hash first, that the target model is fitted on at most.
+#: Good labelled rows, about, that the target model is fitted on where there are more.
 MAX_TARGET_ROWS = 20_000
 SMOOTHING, SEED = 1.0, 7
 
@@ -48,7 +48,7 @@ def model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TARGET_ROWS) -
     """The log ratio of each bucket, and the share of labelled rows that are good."""
     by_id = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
     share = by_id.agg(F.avg((F.col("q") > 0).cast("double"))).first()[0]
-    target = by_id.where("q > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("__id"))
+    target = bounded_sample(by_id.where("q > 0"), max_rows).select(F.col("doc_id").alias("__id"))
     rows = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(target), F.col("doc_id") == F.col("__id"), "left").select("t", F.col("__id").isNotNull().alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,24 +77,6 @@ def sortable(x: np.ndarray) -> np.ndarray:
     return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
 
-def kth_largest(rows: DataFrame, key: str, k: int) -> int | None:
-    """The k-th largest of a long column, by four passes over counts of 16 bits each."""
-    if k <= 0:
-        return None
-    prefix, rest = None, k
-    for shift in (48, 32, 16, 0):
-        digit = F.shiftright(key, shift)
-        some = rows if prefix is None else rows.where(F.shiftright(key, shift + 16) == prefix)
-        for row in sorted(some.groupBy(digit.alias("d")).count().collect(), reverse=True):
-            if row["count"] >= rest:
-                prefix = row["d"]
-                break
-            rest -= row["count"]
-        else:
-            return None
-    return prefix
-
-
 def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """One row per document: doc_id, n_ngrams, log_ratio, key, kept."""
     ratios, found = model(docs, labels)

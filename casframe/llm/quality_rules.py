@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casframe.llm.common import SPACES, slices, text_bytes
+from casframe.llm.common import SPACES, bounded_sample, slices, text_bytes
 
-#: Labelled rows, least hash first, that the classifier is fitted on at most.
+#: Labelled rows, about, that the classifier is fitted on where there are more.
 MAX_TRAINING_ROWS = 6_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -224,9 +224,9 @@ _RESULT = (
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most max_rows labelled documents, those of least id hash."""
+    """Features and labels of about max_rows labelled documents at most."""
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = bounded_sample(ids, max_rows)
     rows = docs.select("doc_id", text_bytes().alias("__text")).join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +234,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
             got = [statistics(t)[1] for _, part in slices(b.column(1)) for t in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float64())), b.column(2)], names=["doc_id", "x", "y"])
 
-    got = rows.select("doc_id", "__text", F.col("__quality").cast("long")).mapInArrow(run, "doc_id long, x array<double>, y long").orderBy("doc_id", "x").toArrow()
+    got = rows.select("doc_id", "__text", F.col("__quality").cast("long")).mapInArrow(run, "doc_id long, x array<double>, y long").toArrow()
     if not got.num_rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
-    return np.array(got["x"].to_pylist()), (np.array(got["y"]) > 0).astype(float)
+    x, y = np.array(got["x"].to_pylist()), (np.array(got["y"]) > 0).astype(float)
+    order = np.lexsort([*x.T, np.array(got["doc_id"])])  # rows come in any order, and the trees must not depend on it
+    return x[order], y[order]
 
 
 def judge(docs: DataFrame, forest: Forest, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:

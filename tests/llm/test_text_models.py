@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 
 from casframe.llm import bpe, context_tree, importance, quality_rules
+from casframe.llm.common import bounded_sample, kth_largest
 from test_dedup import lower, words
 
 SF = "/root/testdata/sf0.01"
@@ -130,6 +131,21 @@ def test_importance_ratio_is_that_of_the_models(spark):
     assert importance.importance_resample(docs.limit(0), labels).collect() == []
 
 
+def test_kth_largest(spark):
+    r = random.Random(3)
+    for values in ([r.randrange(-(1 << 62), 1 << 62) for _ in range(300)], [r.randrange(50) for _ in range(300)], [7] * 9, [70000, 3]):
+        frame = spark.createDataFrame([(v,) for v in values], "v long")
+        for k in (1, 2, len(values) // 2 + 1, len(values)):
+            assert kth_largest(frame, "v", k) == sorted(values, reverse=True)[k - 1]
+        assert kth_largest(frame, "v", len(values) + 1) is None and kth_largest(frame, "v", 0) is None
+    assert kth_largest(frame.limit(0), "v", 1) is None
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    assert 350 < bounded_sample(rows, 500).count() < 650 and bounded_sample(rows, 5000).count() == 5000
+
+
 def test_order_of_floats():
     x = np.array([-np.inf, -3.5, -1e-300, 0.0, 1e-300, 2.0, np.inf])
     assert (np.diff(importance.sortable(x).astype(object)) > 0).all()
@@ -145,8 +161,9 @@ def ctw(train, texts, most=None):
     seen = Counter(s[i - d : i] for t in train for s in [pad + t + b"\xff"] for i in range(4, len(s)) for d in (3, 4))
     kept = {}
     for d in (3, 4):
-        own = sorted((c for c in seen if len(c) == d), key=lambda c: (-seen[c], c))
-        own = own[: (most or {}).get(d, len(own))]
+        own = sorted((c for c in seen if len(c) == d), key=lambda c: -seen[c])
+        n = (most or {}).get(d, len(own))
+        own = own if n >= len(own) else [c for c in own[:n] if seen[c] > seen[own[n]]]
         kept[d] = {c for c in own if d == 3 or c[1:] in kept[3]}
 
     def path(before):
