@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from casframe.functions import lexical, pdf
 from casframe.functions.hashing import fnv1a
-from casframe.functions.text import SNIPPET, content_tokens
+from casframe.functions.text import SNIPPET, STOPWORDS, tokens
 
 CHUNK, OVERLAP, LOOK_BACK = 1200, 200, 200
 DIM = 512
@@ -81,7 +81,8 @@ def sign(token: Column) -> Column:
 
 def term_frequencies(chunks_: DataFrame, keys: tuple[str, ...] = ("blob_id", "seq")) -> DataFrame:
     """(keys, token, tf), without stopwords."""
-    return chunks_.select(*keys, F.explode(content_tokens("text")).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    rows = chunks_.select(*keys, F.explode(tokens("text")).alias("token")).where(~F.col("token").isin(*STOPWORDS))
+    return rows.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def sparse_vectors(tf: DataFrame, keys: tuple[str, ...] = ("blob_id", "seq")) -> DataFrame:
