@@ -14,8 +14,9 @@ A link is confirmed on the full shingle sets.  Links are grouped by union-find
 within partitions, and by stars across them.
 
 Defined cases: a null text, or one without words, has no shingles and is linked
-with nothing; rows with a null doc_id are returned with a null component and kept;
-repeated rows of one doc_id are one document; an empty table gives no rows;
+with nothing; a row with a null doc_id takes the component of its text, and has a null
+one and is kept where no row with an id has that text; repeated rows of one doc_id are one
+document; an empty table gives no rows;
 other columns are not touched.
 """
 
@@ -273,6 +274,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns."""
+    """The documents that stay, with their columns; of rows with a null doc_id all or none."""
     ids = verdicts.where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi")
