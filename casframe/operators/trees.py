@@ -91,27 +91,26 @@ def flatten(roots: DataFrame, entries: DataFrame, tree_ids: DataFrame) -> DataFr
     a directory without entries is a leaf.  Raises where a tree is its own ancestor,
     is missing, or lies too deep.
     """
-    front = roots.select("root", F.col("tree_id").alias("at"), F.lit("").alias("path"), F.array(F.col("tree_id")).alias("above"))
-    full = cut(entries.select("tree_id").distinct())
-    known = cut(tree_ids.select(F.col("id").alias("known")))
+    front = roots.select("root", F.col("tree_id").alias("at"), F.lit("").alias("path"), F.array(F.col("tree_id")).alias("above"), F.lit(False).alias("cyclic"))
+    full = entries.select(F.col("tree_id").alias("full")).distinct()
+    known = cut(tree_ids.select(F.col("id").alias("known")).distinct().join(full, F.col("known") == F.col("full"), "left").select("known", F.col("full").isNull().alias("empty")))
     leaves = None
     for _ in range(MAX_DEPTH + 1):
-        front = cut(front)
-        if front.isEmpty():
-            break
-        missing = front.join(known, F.col("at") == F.col("known"), "left_anti").select("at").first()
+        front = cut(front.join(known, F.col("at") == F.col("known"), "left"))
+        n, missing, cyclic = front.agg(F.count("*"), F.min(F.when(F.col("known").isNull(), F.col("at"))), F.min(F.when(F.col("cyclic"), F.col("at")))).first()
         if missing:
-            raise codecs.Corrupt(f"tree is missing: {missing[0]}")
-        empty = front.where("path <> ''").join(full, F.col("at") == F.col("tree_id"), "left_anti")
-        empty = empty.select("root", "path", F.lit(codecs.DIRECTORY).cast("tinyint").alias("kind"), F.lit(False).alias("executable"), F.col("at").alias("object_id"))
-        below = front.join(entries, F.col("at") == F.col("tree_id")).withColumn("path", F.concat("path", F.when(F.col("path") != "", "/").otherwise(""), "name"))
-        dirs = below.where(f"kind = {codecs.DIRECTORY}")
-        cyclic = dirs.where(F.array_contains("above", F.col("object_id"))).select("object_id").first()
+            raise codecs.Corrupt(f"tree is missing: {missing}")
         if cyclic:
-            raise codecs.Corrupt(f"tree cycle at {cyclic[0]}")
+            raise codecs.Corrupt(f"tree cycle at {cyclic}")
+        if not n:
+            break
+        empty = front.where("empty AND path <> ''")
+        empty = empty.select("root", "path", F.lit(codecs.DIRECTORY).cast("tinyint").alias("kind"), F.lit(False).alias("executable"), F.col("at").alias("object_id"))
+        below = front.where("NOT empty").join(entries, F.col("at") == F.col("tree_id")).withColumn("path", F.concat("path", F.when(F.col("path") != "", "/").otherwise(""), "name"))
         found = below.where(f"kind <> {codecs.DIRECTORY}").select("root", *LEAVES.split(", ")).unionByName(empty)
         leaves = found if leaves is None else leaves.unionByName(found)
-        front = dirs.select("root", F.col("object_id").alias("at"), "path", F.concat("above", F.array("object_id")).alias("above"))
+        dirs = below.where(f"kind = {codecs.DIRECTORY}")
+        front = dirs.select("root", F.col("object_id").alias("at"), "path", F.concat("above", F.array("object_id")).alias("above"), F.array_contains("above", F.col("object_id")).alias("cyclic"))
     else:
         raise codecs.Corrupt("tree lies too deep")
     return leaves if leaves is not None else roots.sparkSession.createDataFrame([], "root string, path string, kind tinyint, executable boolean, object_id string")
