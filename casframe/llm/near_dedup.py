@@ -183,9 +183,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-_KNOWN = WordHashes()  # of this worker
-
-
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set of x with each of y, as products of 0/1 matrices."""
     rows = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
@@ -220,7 +217,8 @@ def _block_links(group: pa.Table) -> pa.Table:
     found = np.zeros((0, 2), np.int64)
     if len(a):
         texts = group["t"].take(pa.array(np.concatenate([a, b]))).to_pylist()
-        sets = [shingle_hashes((t or b"").lower().split(), _KNOWN) for t in texts]
+        known = WordHashes()
+        sets = [shingle_hashes((t or b"").lower().split(), known) for t in texts]
         x, y = sets[: len(a)], sets[len(a) :]
         common = common_counts(x, y)
         union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
