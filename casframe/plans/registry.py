@@ -11,7 +11,7 @@ from casframe.functions import hashing, pdf, text
 from casframe.operators import diff, fsck, graph, locate, repack, search, trees
 from casframe.operators.base import cut
 from casframe.plans import tables
-from casframe.plans.tables import COMMITS_SQL, FIRST_SQL, SECOND_SQL, table
+from casframe.plans.tables import COMMITS_SQL, FIRST_SQL, SECOND_SQL, spread, table
 from casframe.repository import cache_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,7 +292,7 @@ _TF_SQL = f"tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unn
 
 
 def _terms(spark, sf):
-    return search.term_frequencies(table(spark, sf, "documents"), ("doc_id",))
+    return search.term_frequencies(spread(table(spark, sf, "documents").select("doc_id", "text")), ("doc_id",))
 
 
 @query(f"WITH {_TF_SQL} SELECT * FROM tf")
