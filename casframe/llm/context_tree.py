@@ -3,12 +3,15 @@
 A byte is eight binary decisions, one for each prefix of its bits.  Each decision
 has a tree of contexts: none, the last byte, the last two, three and four.  Every node holds
 a Krichevsky-Trofimov estimate, and a node's weighted probability is half its own
-estimate's and half the product of its children's.  All contexts of up to two
-bytes are nodes; of three and four bytes the most frequent ones, and what follows a
-node in other contexts is one more child of it.  Learned over a corpus and then held
-fixed, the mixture gives each byte in each context a probability, so the model is
-a table with one row of 256 for each context: CONTEXTS + 256 + DEEP[3] + DEEP[4]
-rows at most, whatever the corpus, and far fewer where few pairs of bytes occur.
+estimate's and half the product of its children's.  All contexts of up to DEPTH
+bytes that the training rows hold are nodes.  Learned over a corpus and then held
+fixed, the mixture gives each byte in each context a probability.  The model is a
+table of the distinct runs of DEPTH + 1 bytes with theirs, and the decisions of the
+contexts of up to three bytes, from which runs that training has not seen get
+theirs; it grows with the distinct runs of the corpus.
+
+With limits in DEEP only the most frequent contexts of three and four bytes are
+nodes, and what follows a node in other contexts is one more child of it.
 
 Next to it stands a word unigram score.  Words are counted over the whole
 training part; the most frequent TOP_WORDS travel to the scorers, the others meet
@@ -41,10 +44,9 @@ TOP_WORDS = 1 << 17
 #: One in FOLDS is held out: those whose crc32 leaves HELD.
 FOLDS, HELD = 5, 1
 
-#: Bytes of context, the contexts of two bytes, and the nodes of three and of four bytes at most.
+#: Bytes of context, and the nodes of three and of four bytes at most: None for all.
 DEPTH = 4
-CONTEXTS = 1 << 16
-DEEP = {3: 1 << 14, 4: 1 << 15}
+DEEP: dict[int, int | None] = {3: None, 4: None}
 END = b"\xff"
 END_KEY = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 _GRAM, _WORD = 0, 1
@@ -290,17 +292,109 @@ def compile_model(pairs: tuple[np.ndarray, np.ndarray], deep: dict[int, tuple[np
     return Model(rows, table, {d: (by_last[d][0], first[d]) for d in deep})
 
 
-def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows with the largest counts: all if there are no more than most, else those above the next one's."""
+#: Runs whose probabilities are mixed at a time.
+MIXED = 1 << 16
+
+
+@dataclass
+class WholeModel:
+    """log10 P(byte | context) with every counted context as a node."""
+
+    runs: np.ndarray  # distinct runs of DEPTH + 1 bytes, sorted
+    before: np.ndarray  # how often the smaller runs occur; one entry more than runs
+    nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by depth below DEPTH the sorted context << 8 | decision, its estimate and its own share
+    known: np.ndarray  # log10 of each run
+
+    def mix(self, runs: np.ndarray) -> np.ndarray:
+        """log10 of the last byte of each run after the others, from the nodes."""
+        out = np.zeros(len(runs))
+        context, byte = runs >> 8 << 8, runs & 255
+        for bits in range(8):
+            top, size = byte >> (8 - bits), 256 >> bits
+            start, mid, end = (self.before[np.searchsorted(self.runs, context + top * size + x)] for x in (0, size // 2, size))
+            p = _kt((mid - start, end - mid))
+            decision = context | 1 << bits | top
+            for depth in range(DEPTH - 1, -1, -1):
+                keys, estimate, stay = self.nodes[depth]
+                own = decision & ((1 << 8 * (depth + 1)) - 1)
+                place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                hit = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+                e, s = np.full(len(own), 0.5), np.full(len(own), 0.5)  # of decisions that training has not met
+                e[hit], s[hit] = estimate[place[hit]], stay[place[hit]]
+                p = s * e + (1 - s) * p
+            one = (byte >> (7 - bits) & 1) == 1
+            out += np.log10(np.where(one, p, 1 - p))
+        return out
+
+    def log10(self, number: np.ndarray) -> np.ndarray:
+        """Of the last byte of each number after the others; runs that occur often are looked up once."""
+        runs, at = np.unique(number, return_inverse=True)
+        out, hit = np.zeros(len(runs)), np.zeros(len(runs), bool)
+        if len(self.runs):
+            place = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
+            hit = self.runs[place] == runs
+            out[hit] = self.known[place[hit]]
+        new = np.flatnonzero(~hit)
+        for i in range(0, len(new), MIXED):
+            out[new[i : i + MIXED]] = self.mix(runs[new[i : i + MIXED]])
+        return out[at]
+
+
+def _shorter(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, weight: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Keys, counts, weights and own shares of the nodes of a depth, from those one byte deeper."""
+    up, at = np.unique(keys & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+    n0, n1, children = (np.bincount(at, x, len(up)) for x in (n0, n1, weight))
+    own = _log_kt(n0, n1)
+    both = np.logaddexp(own, children) - math.log(2)
+    return up, n0, n1, both, np.exp(own - math.log(2) - both)
+
+
+def whole_model(runs: np.ndarray, n: np.ndarray) -> WholeModel:
+    """The model of the counts n of distinct runs; contexts of one last byte at a time."""
+    order = np.argsort(runs)
+    runs, n = runs[order], n[order]
+    before = np.concatenate([[0], np.cumsum(n)])
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(DEPTH)]
+    by_last = np.argsort((runs >> 8) & 255, kind="stable")
+    for some in np.split(by_last, np.searchsorted((runs[by_last] >> 8) & 255, np.arange(1, 256))):
+        byte, context = runs[some] & 255, runs[some] >> 8 << 8
+        keys = np.concatenate([context | 1 << bits | byte >> (8 - bits) for bits in range(8)])
+        one = np.concatenate([byte >> (7 - bits) & 1 for bits in range(8)])
+        keys, at = np.unique(keys, return_inverse=True)
+        n0, n1 = (np.bincount(at, np.tile(n[some], 8) * x, len(keys)) for x in (1 - one, one))
+        node = keys, n0, n1, _log_kt(n0, n1)
+        for depth in range(DEPTH - 1, 0, -1):
+            *node, stay = _shorter(*node, depth)
+            parts[depth].append((*node, stay))
+    top = [np.concatenate(x) for x in zip(*parts[1], strict=True)]
+    parts[0].append(_shorter(*top[:4], 0))
+    nodes = []
+    for own in parts:
+        keys, n0, n1, _, stay = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.argsort(keys)
+        nodes.append((keys[order], _kt((n0, n1))[order], stay[order]))
+    model = WholeModel(runs, before, nodes, np.zeros(len(runs), np.float32))
+    for i in range(0, len(runs), MIXED):
+        model.known[i : i + MIXED] = model.mix(runs[i : i + MIXED])
+    return model
+
+
+def most_frequent(rows: DataFrame, count: str, most: int | None) -> DataFrame:
+    """The rows with the largest counts: all if most is None or there are no more than most, else those above the next one's."""
+    if most is None:
+        return rows
     if not most:
         return rows.limit(0)
     least = kth_largest(rows, count, most + 1)
     return rows if least is None else rows.where(F.col(count) > F.lit(least))
 
 
-def learn(counts: DataFrame) -> Model:
+def learn(counts: DataFrame) -> Model | WholeModel:
     """The model of training_counts."""
     runs = counts.where(f"kind = {_GRAM}").select("key", "n")
+    if all(most is None for most in DEEP.values()):
+        found = runs.toArrow()
+        return whole_model(*(found[c].to_numpy().astype(np.int64) for c in ("key", "n")))
     byte = F.col("key").bitwiseAND(255)
     context = lambda depth: F.shiftright("key", 8).bitwiseAND((1 << 8 * depth) - 1)
     column = lambda t, c: t[c].to_numpy().astype(np.int64)

@@ -261,6 +261,28 @@ def test_deeper_contexts_predict_held_out_text_better(spark, monkeypatch):
     assert deep > held()
 
 
+def test_context_tree_keeps_every_context():
+    """More contexts than any fixed number of nodes: each of three and four bytes is one, and predicts what follows it."""
+    r = np.random.default_rng(0)
+    contexts = np.unique(r.integers(0, 1 << 32, 60_000))
+    runs = contexts << 8 | r.integers(0, 256, len(contexts))
+    model = context_tree.whole_model(runs, np.full(len(runs), 3))
+    assert (model.log10(runs) > -3 * math.log10(2)).mean() > 0.99
+    assert len(np.unique(model.nodes[3][0] >> 8)) == len(np.unique(contexts & 0xFFFFFF)) > 1 << 15
+
+
+def test_every_context_is_learned_from_text(spark):
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = context_tree.learn(context_tree.training_counts(docs))
+    train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen = {s[i - 4 : i] for t in train for s in [b"\xff" * 4 + t + b"\xff"] for i in range(4, len(s))}
+    assert len(seen) > 1 << 15 and set((model.runs >> 8).tolist()) == {int.from_bytes(c, "big") for c in seen}
+    p = 10.0 ** model.log10((int.from_bytes(next(iter(seen)), "big") << 8) | np.arange(256))
+    assert np.isclose(p.sum(), 1, atol=1e-4)
+
+
 def test_context_tree_without_training(spark):
     got = context_tree.score(spark.createDataFrame([(7, "ab")], "doc_id long, text string").where("doc_id < 0"))
     assert got.collect() == []
