@@ -212,6 +212,27 @@ def test_layouts(spark):
     assert len({got[i].fingerprint for i in range(7)}) == 6
 
 
+def test_chat_with_a_text_longer_than_json_holds(spark):
+    n = 20_000_001
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.expr(f"repeat('x', {n})").alias("text"))
+    got = chat.format_conversations(rows).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (1, n, hashlib.sha256(b"x" * n).hexdigest())
+
+
+def test_records_that_cannot_be_parsed_are_not_lost(spark):
+    rows = spark.createDataFrame([('{"prompt": "a", "response": "b"}',), ('{"prompt": ',)], "record string")
+    with pytest.raises(Exception, match="MALFORMED"):
+        chat.canonical_turns(rows).collect()
+
+
+def test_typed_turns_are_those_of_the_record(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, None, "a"), (1, None, "user", None)], "conv_id long, turn long, role string, text string")
+    record = json.dumps({"turns": [{"turn": None, "role": "user", "text": ""}, {"turn": 0, "role": "", "text": "a"}, {"turn": 1, "role": "assistant", "text": "b"}]})
+    want = chat.canonical_turns(spark.createDataFrame([(record,)], "record string")).first()
+    got = chat.typed_turns(rows).first()
+    assert (got.fingerprint, got.turns) == (want.fingerprint, want.turns)
+
+
 def test_every_query_runs(spark):
     for name, query in queries.queries().items():
         assert query(spark, SF).count() > 0, name
