@@ -22,7 +22,8 @@ other columns are not touched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from casframe.llm.common import WordHashes, cut, mix64, slices, stream64, text_bytes
 
 WORDS = 5
-#: Linked from 85 % of the union on, as a fraction of whole numbers.
+#: Linked from 85 % of the union on, as a fraction of whole numbers, unless the caller names another.
 SIMILAR = (85, 100)
-#: At the threshold a link is missed with (1 - 0.85**ROWS)**BANDS = 2e-6, above it less.
-BANDS, ROWS = 28, 6
+#: At the threshold a link is missed with this probability at most, (1 - similarity**rows)**bands, above it with less.
+MISSED = 2e-6
+#: Slots of a signature at most, unless one row a band needs more.
+SLOTS = 176
 #: A bucket with more members than this is compared in blocks of BLOCK.
 SMALL_BUCKET, BLOCK = 16, 256
 #: Shingles counted at a time when two blocks are compared.
@@ -46,6 +49,17 @@ _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
 
+def banding(similar: tuple[int, int]) -> tuple[int, int]:
+    """Bands and rows a band, as many rows as SLOTS allow."""
+    need = lambda rows: max(math.ceil(math.log(MISSED) / math.log1p(-((similar[0] / similar[1]) ** rows))), 1)
+    rows = max((r for r in range(2, SLOTS + 1) if r * need(r) <= SLOTS), default=1)
+    return need(rows), rows
+
+
+#: Of SIMILAR: 28 bands of 6.
+BANDS, ROWS = banding(SIMILAR)
+
+
 def shingle_hashes(words: list[bytes], known: WordHashes, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; shorter texts are one shingle."""
     if not words:
@@ -94,9 +108,11 @@ def bands_of(held: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, node (128-bit hash of the shingle set) and bands of every row."""
 
+    bands, rows = banding(similar)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
@@ -106,8 +122,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(sizes)
                 keys, nodes = [None] * len(part), [None] * len(part)
                 if len(full):
-                    held = signatures(np.concatenate(sets), np.repeat(np.arange(len(full)), sizes[full]), len(full), BANDS * ROWS)
-                    for i, key in zip(full, bands_of(held).view(np.int64), strict=True):
+                    held = signatures(np.concatenate(sets), np.repeat(np.arange(len(full)), sizes[full]), len(full), bands * rows)
+                    for i, key in zip(full, bands_of(held, bands, rows).view(np.int64), strict=True):
                         keys[i], nodes[i] = key, xxhash.xxh3_128_digest(sets[i].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -118,13 +134,13 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_bytes()).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = cut(docs.select("doc_id", text_bytes().alias("t")).join(ids, "doc_id", "left_semi"))
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a")
-    num, den = SIMILAR
+    num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = WordHashes(), (None, None)
@@ -199,38 +215,42 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _block_links(group: pa.Table) -> pa.Table:
+def _block_links(similar: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
     """Links between different components within one block, or between two.
 
     Pairs that meet in an earlier band are left to that band's bucket.
     """
-    ids, comps, own = (np.array(group[c]) for c in ("rep", "component", "own"))
-    bands = np.array(group["bands"].to_pylist(), np.int64)
-    low, high, bucket = (group[c][0].as_py() for c in ("low", "high", "bucket"))
-    a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-    todo = comps[a][:, None] != comps[b][None, :]
-    if low == high:
-        todo &= ids[a][:, None] < ids[b][None, :]
-    for i in range(int((bands[0] == bucket).argmax()) if len(ids) else 0):
-        todo &= bands[a, i][:, None] != bands[b, i][None, :]
-    a, b, todo = a[todo.any(axis=1)], b[todo.any(axis=0)], todo[todo.any(axis=1)][:, todo.any(axis=0)]
-    found = np.zeros((0, 2), np.int64)
-    if len(a):
-        texts = group["t"].take(pa.array(np.concatenate([a, b]))).to_pylist()
-        known = WordHashes()
-        sets = [shingle_hashes((t or b"").lower().split(), known) for t in texts]
-        x, y = sets[: len(a)], sets[len(a) :]
-        common = common_counts(x, y)
-        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
-        i, j = np.nonzero(todo & (SIMILAR[1] * common >= SIMILAR[0] * union))
-        found = np.stack([ids[a[i]], ids[b[j]]], axis=1)
-        found = found[found[:, 0] != found[:, 1]]
-    return pa.table({"a": pa.array(found.min(axis=1) if len(found) else found[:, 0]), "b": pa.array(found.max(axis=1) if len(found) else found[:, 0])})
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = cut(sketch(docs))
+
+    def links(group: pa.Table) -> pa.Table:
+        ids, comps, own = (np.array(group[c]) for c in ("rep", "component", "own"))
+        bands = np.array(group["bands"].to_pylist(), np.int64)
+        low, high, bucket = (group[c][0].as_py() for c in ("low", "high", "bucket"))
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        todo = comps[a][:, None] != comps[b][None, :]
+        if low == high:
+            todo &= ids[a][:, None] < ids[b][None, :]
+        for i in range(int((bands[0] == bucket).argmax()) if len(ids) else 0):
+            todo &= bands[a, i][:, None] != bands[b, i][None, :]
+        a, b, todo = a[todo.any(axis=1)], b[todo.any(axis=0)], todo[todo.any(axis=1)][:, todo.any(axis=0)]
+        found = np.zeros((0, 2), np.int64)
+        if len(a):
+            texts = group["t"].take(pa.array(np.concatenate([a, b]))).to_pylist()
+            known = WordHashes()
+            sets = [shingle_hashes((t or b"").lower().split(), known) for t in texts]
+            x, y = sets[: len(a)], sets[len(a) :]
+            common = common_counts(x, y)
+            union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+            i, j = np.nonzero(todo & (similar[1] * common >= similar[0] * union))
+            found = np.stack([ids[a[i]], ids[b[j]]], axis=1)
+            found = found[found[:, 0] != found[:, 1]]
+        return pa.table({"a": pa.array(found.min(axis=1) if len(found) else found[:, 0]), "b": pa.array(found.max(axis=1) if len(found) else found[:, 0])})
+
+    return links
+
+
+def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; similar is the least Jaccard similarity of a link, as a fraction."""
+    rows = cut(sketch(docs, similar))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     members = cut(rows.drop("bands").join(nodes, "node", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     reps = rows.join(nodes, (rows.node == nodes.node) & (rows.doc_id == nodes.rep)).select("rep", "bands")
@@ -242,7 +262,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     hubs = live.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", -F.col("rep"))).alias("top")).select("bucket", (-F.col("top")[F.lit("col2")]).alias("hub"))
     tried = live.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     tried = cut(tried)
-    links = cut(verified(tried, docs))
+    links = cut(verified(tried, docs, similar))
 
     # Buckets that the hubs have not joined into one component.
     comp = cut(components(links))
@@ -254,14 +274,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         x = few.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
         y = few.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
         pairs = cut(x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        more = verified(pairs, docs)
+        more = verified(pairs, docs, similar)
         many = rest.where(F.col("n") > SMALL_BUCKET)
         if not many.isEmpty():
             texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("t")).join(reps.select("rep", "bands"), "rep")
             many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
             many = many.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             many = many.select("bucket", "rep", "component", "bands", "t", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-            more = more.unionByName(many.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a long, b long"))
+            more = more.unionByName(many.groupBy("bucket", "low", "high").applyInArrow(_block_links(similar), "a long, b long"))
         more = cut(more)
         if not more.isEmpty():
             comp = cut(components(links.unionByName(more)))

@@ -100,6 +100,31 @@ def test_near_on_empty_null_and_repeated(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in out) == [(-1, -1, True), (-1, 7, False), (7, 7, True), (7, 7, True)]
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_at_another_similarity(spark, monkeypatch, small):
+    """Pairs of Jaccard 0.8 to 0.85 are linked where the caller asks for 0.8, and only there."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(0, 80, 2):
+        w = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        x = list(w)
+        for k in range(6):
+            x[20 + 50 * k] = "x"  # 30 of 296 shingles
+        rows += [(i, " ".join(w)), (i + 1, " ".join(x))]
+        want |= {i: i, i + 1: i}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert {x.doc_id: x.component_id for x in near_dedup.near_dedup(docs, (80, 100)).collect()} == want
+    assert {x.doc_id: x.component_id for x in near_dedup.near_dedup(docs).collect()} == {i: i for i in want}
+
+
+def test_bands_fit_the_similarity():
+    assert near_dedup.banding((85, 100)) == (28, 6) and near_dedup.banding((80, 100)) == (34, 5)
+    for similar in ((5, 10), (7, 10), (8, 10), (9, 10)):
+        bands, rows = near_dedup.banding(similar)
+        assert (1 - (similar[0] / similar[1]) ** rows) ** bands <= near_dedup.MISSED
+
+
 def test_signature_is_the_plain_algorithm():
     """The vectorised levels give what one pass over the elements, each with its own permutation, gives."""
     r = np.random.default_rng(0)
