@@ -38,7 +38,9 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    """The labels describe documents; a page's is the one that its URL's path names."""
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.labels_by_number(pages, table(spark, sf_dir, "labels")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,3 +274,32 @@ def test_pipeline_stages_on_odd_rows(spark):
             out = stage(spark, frame, SF)
             out.collect()
             assert name == "byte_bpe" or out.columns == frame.columns
+
+
+def test_labels_without_relation_to_urls_give_no_rules(spark):
+    """Random labels over many token combinations, among them a planted one, which alone is found."""
+    r = random.Random(8)
+    hosts = [f"h{i}" for i in range(40)]
+    rows = [([f"host:{r.choice(hosts)}", f"path:{r.choice('abcd')}", f"query:{r.choice('xyz')}"], r.random() < 0.25) for _ in range(3000)]
+    mined = lambda rows: url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.001, z=url_rules.Z, margin=url_rules.MARGIN)
+    assert mined(rows) == []
+    held = [(["host:farm", f"path:{r.choice('abcd')}", "query:x"], r.random() < 0.95) for _ in range(120)]
+    found = mined(rows + held[:60])
+    assert [x.items for x in found] == [("host:farm",)]
+    match = url_rules.matcher(found)
+    hit = [bad for items, bad in rows[:1000] + held[60:] if match(items)]
+    assert np.mean(hit) > 0.25 + url_rules.MARGIN
+
+
+def test_labels_by_number(spark):
+    urls = ["http://a.org/en/7?x", "https://b.com/de/8.html", "http://c.net/", None, "http://d.net/en/99999999999999999999", "http://e.net/en/9#/fr/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, None), (None, 0, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, url_rules.labels_by_number(pages, labels).collect())) == [(0, 1, 0), (1, 0, None)]
+
+
+def test_url_verdicts_of_no_pages_and_long_urls(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://org/" + "a/" * 50_000)], "page_id long, url string")
+    assert [(r.host, len(r.path), r.verdict) for r in url_rules.judge_urls(pages, none).collect()] == [("org", 100_001, "allow")]
+    assert url_rules.judge_urls(pages.limit(0), none).collect() == []
