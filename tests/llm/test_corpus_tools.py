@@ -303,3 +303,43 @@ def test_url_verdicts_of_no_pages_and_long_urls(spark):
     pages = spark.createDataFrame([(1, "http://org/" + "a/" * 50_000)], "page_id long, url string")
     assert [(r.host, len(r.path), r.verdict) for r in url_rules.judge_urls(pages, none).collect()] == [("org", 100_001, "allow")]
     assert url_rules.judge_urls(pages.limit(0), none).collect() == []
+
+
+def test_formatted_turns_say_where_the_loss_is(spark):
+    """The text and mask of layouts other than rows, by hand: every character is accounted for."""
+    records = [(1, [("user", "a<s>"), ("assistant", "b\nc"), ("assistant", "")]), (2, []), (3, None), (4, [(None, None), ("odd\n", "\\")])]
+    rows = spark.createDataFrame(records, "id long, turns array<struct<role:string,text:string>>")
+    got = {r.id: r for r in chat.format_turns(rows, "id").collect()}
+    for i, turns in records:
+        if turns is None:
+            assert got[i].formatted is None and got[i].loss_mask is None
+            continue
+        text, mask = "", []
+        for role, said in turns:
+            said = (said or "").replace("\\", "\\\\").replace("<s>", "\\d")
+            text += "<|im_start|>" + (role or "").replace("\n", "\\n") + "\n"
+            if role == "assistant":
+                mask.append((len(text) + 1, len(said)))
+            text += said + "<|im_end|>\n"
+        assert got[i].formatted == text and [tuple(m) for m in got[i].loss_mask] == mask
+    back = chat.read_back(chat.format_turns(rows, "id").where("formatted <> ''"), "id").orderBy("id", "at").collect()
+    assert [(r.id, r.role, r.text) for r in back if r.role is not None] == [(i, a or "", b or "") for i, turns in records for a, b in turns or ()]
+    assert sorted((r.id, r.loss) for r in back if r.loss is not None) == [(1, ""), (1, "b\nc")]
+
+
+def test_a_conversation_of_many_turns_takes_linear_time(spark):
+    """200 MB in 300,000 turns of one conversation, which JSON values could not hold, with its exact digests."""
+    n, size = 300_000, 700
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.rpad(F.col("id").cast("string"), size, "x").alias("text"))
+    got = chat.format_conversations(rows).first()
+    said = loss = 0
+    turns, losses = hashlib.sha256(), hashlib.sha256()
+    for i in range(n):
+        text = str(i).ljust(size, "x").encode()
+        turns.update(b"assistant\n" if i % 2 else b"user\n")
+        turns.update(text + b"\n")
+        if i % 2:
+            losses.update(text)
+            loss += size
+        said += len("<|im_start|>\n<|im_end|>\n") + size + (9 if i % 2 else 4)
+    assert tuple(got) == (1, n, turns.hexdigest(), loss, losses.hexdigest(), said)
