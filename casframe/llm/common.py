@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time.
 SLICE_BYTES = 2 << 20
-#: Entries after which a word cache starts anew, which bounds a worker's memory.
-CACHE_ENTRIES = 300_000
+#: Entries after which a word cache starts anew, and the bytes of a word that it remembers: together they bound a worker's memory.
+CACHE_ENTRIES, CACHE_WORD = 300_000, 64
 #: bytes.split() parts words at exactly these bytes, and no others.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -38,12 +38,14 @@ def stream64(x: np.ndarray, step: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word bytes to a 64-bit hash, remembered up to a bound."""
+    """Word bytes to a 64-bit hash; short words are remembered, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_WORD:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -69,11 +71,15 @@ def text_bytes(column: str = "text"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; tests without a cluster get a temporary one."""
+    """The folder that driver and executors share; only a session in one process may do without and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="casframe-")
+        if held.isDefined():
+            return held.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="casframe-")
     return folder
 
 
@@ -92,6 +98,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A key with more than one in so many rows is hot: there are fewer such keys than that.
+HOT_SHARE = 1024
+
+
+def join_by_count(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """left joined to right, which has one row and the number of left's rows, n, for each key.
+
+    Keys that hold more than 1 / HOT_SHARE of left's total rows, fewer than HOT_SHARE by that
+    definition, are broadcast, so their rows stay where they are; the others meet in a shuffle, whose
+    keys are small.  Null keys are left out.
+    """
+    most = max(total // HOT_SHARE, 1)
+    hot = right.where(F.col(n) > most)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= most), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_rows(docs: DataFrame):
+    """All columns of a row as one struct, so that no helper column can clash with any of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     """All rows of distinct doc_id, or about so many of them, chosen by hash: no task gathers more than its own."""
     n = rows.count()

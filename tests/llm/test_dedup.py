@@ -207,3 +207,28 @@ def test_rows_that_stay(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "A", "y"), (2, "A", "y"), (3, None, None)], "doc_id long, text string, __rank string")
     got = exact_dedup.keep_first_rows(docs, exact_dedup.exact_dedup(docs)).collect()
     assert sorted(map(tuple, got)) == [(2, "A", "y"), (3, None, None)]
+
+
+def test_rows_that_stay_keep_all_their_values(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 7}", 77, i, "w") for i in range(20)] + [(19, "t5", 77, 19, "w")] * 3, "doc_id long, text string, __digest int, __key long, __whole string")
+    got = exact_dedup.keep_first_rows(docs, exact_dedup.exact_dedup(docs))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(i, f"t{i % 7}", 77, i, "w") for i in range(13, 20)]
+
+
+def test_history_and_arrivals_both_give_rows(spark, monkeypatch):
+    """Groups within the history, within the arrivals and across both, hot ones and null ids among them."""
+    seen = []
+    lookup = exact_dedup.lookup
+    monkeypatch.setattr(exact_dedup, "lookup", lambda *a: (seen.append(out := lookup(*a)), out)[1])
+    r = random.Random(4)
+    rows = [(i if r.random() < 0.95 else None, r.choice(["hot"] * 8 + [f"T{r.randrange(40)}", f"t{r.randrange(900)}"])) for i in range(700)] + [(699, "hot")] * 200
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    best, n = {}, {}
+    for i, t in rows:
+        k = lower(t)
+        best[k], n[k] = max(best.get(k, -1), -1 if i is None else i), n.get(k, 0) + 1
+    want = [(i, b if (b := best[lower(t)]) >= 0 else None, n[lower(t)], (-1 if i is None else i) == b, hashlib.sha256(lower(t).encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    kinds = {r.member: r["count"] for r in seen[0].groupBy("member").count().collect()}
+    assert kinds[True] > 100 and kinds[False] > 20
