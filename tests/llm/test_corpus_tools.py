@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import uuid
 
@@ -343,3 +344,46 @@ def test_a_conversation_of_many_turns_takes_linear_time(spark):
             loss += size
         said += len("<|im_start|>\n<|im_end|>\n") + size + (9 if i % 2 else 4)
     assert tuple(got) == (1, n, turns.hexdigest(), loss, losses.hexdigest(), said)
+
+
+def test_mix_keeps_clashing_columns(spark):
+    names = ("__copy", "__rows", "__sum", "__key", "__whole", "size", "copies")
+    rows = [(i, "w " * (5 + i % 3), f"s{i % 2}", *(100 * k + i for k in range(len(names)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = mixing.mixed_documents(docs, mixing.mix(docs))
+    assert out.columns == docs.columns and out.count() > 30
+    assert {tuple(r) for r in out.collect()} <= set(rows)
+
+
+def test_mix_of_one_hot_id(spark):
+    """Rows of a null id and of one id, each a third of all, get their shares without meeting one by one."""
+    rows = [(None, "w w w", "a")] * 300 + [(7, "w w w w", "a")] * 300 + [(100 + i, "w w w", "b") for i in range(300)]
+    got = mixed(spark, rows)
+    assert len(got) == 900
+    want = targets({"a": 2100, "b": 900})
+    for lo, hi, s in ((0, 100, "a"), (100, 1000, "b")):
+        taken = sum(r.taken for r in got if (lo <= (r.doc_id or 0) < hi))
+        assert abs(taken - want[s]) <= 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.mixed_documents(docs, mixing.mix(docs)).count() == sum(r.copies for r in got)
+
+
+def test_pivotal_rounding_is_random_in_all_places(spark):
+    """Of 64 units of one half each every place wins half of the time, and pairs of places win together about as often as not."""
+    n, units = 600, 64
+    r = random.Random(2)
+    for p in (0.5, 0.3):
+        blocks = [(b, [(p, (i + 0.5) / units, r.random()) for i in range(units)]) for b in range(n)]
+        frame = spark.createDataFrame(blocks, "b int, items array<struct<p:double,u:double,coin:double>>")
+        won = np.zeros((n, units))
+        for row in mixing._round(frame).select("b", "r.ones").collect():
+            won[row.b, row.ones] = 1
+        assert np.abs(won[:, :-1].mean(axis=0) - p).max() < 5 * math.sqrt(p * (1 - p) / n)
+        assert set(won.sum(axis=1)) <= {math.floor(p * units + 1e-9), math.floor(p * units + 1e-9) - 1, math.ceil(p * units)}
+        far = np.corrcoef(won[:, 2], won[:, 40])[0, 1]
+        assert abs(far) < 0.2
+
+
+def test_order_and_coin_of_a_unit_are_independent(spark):
+    u = np.array([tuple(x) for x in spark.range(4000).select(mixing.uniform("id", F.lit(3), F.lit(0)), mixing.uniform("id", F.lit(3), F.lit(1))).collect()])
+    assert abs(np.corrcoef(u.T)[0, 1]) < 0.06 and abs((u[:, 0] < 0.5).mean() - 0.5) < 0.04
