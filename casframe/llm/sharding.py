@@ -4,31 +4,40 @@ Arrivals are appended as small immutable Parquet shards.  Shards of about the sa
 size form a tier; a tier that holds enough of them is merged, and files
 that have reached the target size are left alone.  Each state of the store is a
 numbered manifest that lists its shards.  A manifest is written under another name
-and renamed to its number, which fails where the number is taken, so that of
-two writers one wins and the other starts over; readers see whole versions only.
-
-All files go through Hadoop's file system, so the root may be any store that Spark
-reads.  Defined cases: an empty arrival commits nothing; nulls, repeated
-rows and any columns are stored as they are; all arrivals have the first one's columns.
+and then given its number in one step that fails where the number is taken: a hard link
+on local and NFS folders, a rename that does not overwrite on HDFS.  So of two writers one wins
+and the other starts over, and readers see whole versions only.  Stores without such
+a step (object stores that copy to rename) need another catalog and are not supported.
+
+Data goes through Hadoop's file system.  Defined cases: an empty arrival commits nothing; nulls,
+repeated rows, very long texts and columns of any name are stored as they are; all arrivals have
+the first one's columns; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casframe.llm.common import shared_folder
 
-#: Bytes of a finished shard, rows of an arriving one, shards of a tier that are merged, and the tiers' ratio.
+#: Bytes of a finished shard, text bytes of an arriving one, shards of a tier that are merged, and the tiers' ratio.
 TARGET_BYTES = 64 << 20
-ARRIVAL_ROWS = 2_000
+ARRIVAL_BYTES = 8 << 20
 FAN_IN = 4
 RATIO = 4
+#: Seconds that files stay which no kept version lists: another writer may be about to commit them.
+GRACE = 24 * 3600
+#: Parts in which the query's documents arrive.
+ARRIVALS = 3
 
 
 @dataclass(frozen=True)
@@ -67,10 +76,29 @@ class ShardStore:
         stream.write(bytearray(json.dumps([asdict(s) for s in sorted(shards, key=lambda s: s.path)]).encode()))
         stream.close()
         final = self._path(f"{self.root}/manifests/v{base + 1:08d}.json")
-        if not self._fs.exists(final) and self._fs.rename(draft, final):
+        try:
+            return self._published(draft, final)
+        finally:
+            self._fs.delete(draft, False)
+
+    def _published(self, draft, final) -> bool:
+        """Whether final did not exist and is draft now, in one step."""
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
             return True
-        self._fs.delete(draft, False)
-        return False
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, final, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def _change(self, new: list[Shard], old: frozenset[str] = frozenset()) -> int:
         """Commit the newest list without old and with new; the version, or -1 where old is no longer there."""
@@ -83,14 +111,25 @@ class ShardStore:
                 return base + 1
 
     def _written(self, df: DataFrame, rows: int = 0) -> list[Shard]:
+        """The shards that df makes, without those that hold no row."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", rows).parquet(folder)
         found = [Shard(str(x.getPath().toString()), int(x.getLen())) for x in self._fs.listStatus(self._path(folder))]
-        return [s for s in found if s.path.endswith(".parquet")]
+        found = [s for s in found if s.path.endswith(".parquet")]
+        if len(found) == 1 and self.spark.read.parquet(folder).isEmpty():  # Spark writes a file for a frame without rows
+            self._fs.delete(self._path(folder), True)
+            return []
+        return found
 
-    def append(self, arrivals: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
-        """Store the arrivals as shards of at most so many rows; the version."""
-        new = self._written(arrivals, rows)
+    def rows_a_shard(self, arrivals: DataFrame, n_bytes: int) -> int:
+        """Rows of the arrivals that hold about so many bytes of text."""
+        texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, kind in arrivals.dtypes if kind in ("string", "binary")]
+        n, total = arrivals.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))).first()
+        return max(1, n * n_bytes // max(total, 1)) if n else 0
+
+    def append(self, arrivals: DataFrame, rows: int | None = None, n_bytes: int = ARRIVAL_BYTES) -> int:
+        """Store the arrivals as shards of about n_bytes of text, or of at most so many rows; the version."""
+        new = self._written(arrivals, self.rows_a_shard(arrivals, n_bytes) if rows is None else rows)
         return self._change(new) if new else (self.versions() or [0])[-1]
 
     def tier(self, shard: Shard) -> int:
@@ -119,26 +158,44 @@ class ShardStore:
             self._change(merged, frozenset(s.path for s in run))
         return (self.versions() or [0])[-1]
 
-    def vacuum(self) -> None:
-        """Delete the files that the newest manifest does not list."""
-        held = {s.path for s in self.shards()}
+    def vacuum(self, versions: int = 1, grace: float = GRACE) -> None:
+        """Delete files that none of the newest versions lists and that are older than the grace, and older manifests.
+
+        What another writer has written and not committed yet is younger, or that writer must start over.
+        """
+        have = self.versions()
+        kept = have[-versions:] if versions else have[-1:]
+        held = {s.path for v in kept for s in self.shards(v)}
+        before = (time.time() - grace) * 1000
+        if not self._fs.exists(self._path(f"{self.root}/data")):
+            return
         for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
             for x in self._fs.listStatus(folder.getPath()):
-                if str(x.getPath().toString()) not in held:
+                if str(x.getPath().toString()) not in held and x.getModificationTime() <= before:
                     self._fs.delete(x.getPath(), False)
+        for v in have:
+            path = self._path(f"{self.root}/manifests/v{v:08d}.json")
+            if v not in kept and self._fs.getFileStatus(path).getModificationTime() <= before:
+                self._fs.delete(path, False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with _metadata for the shard's name."""
         return self.spark.read.parquet(*(s.path for s in self.shards(version)))
 
 
-def shard_documents(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Append, compact, and return one row per document: doc_id, shard, shard_bytes, version."""
+def shard_documents(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_BYTES, arrivals: int = ARRIVALS) -> DataFrame:
+    """Store all documents, which arrive in parts, compacting after each; one row per document: doc_id, shard, shard_bytes, version.
+
+    The store that this makes has no other writer, so nothing needs a grace.
+    """
     spark = docs.sparkSession
     store = ShardStore(spark, root or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target_bytes)
-    store.append(docs)
-    version = store.compact()
-    if not version:
-        return docs.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("version"))
-    store.vacuum()
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(arrivals))
+    version = 0
+    for i in range(arrivals):
+        store.append(docs.where(part == i))
+        version = store.compact()
+        store.vacuum(grace=0)
+    if not store.shards():
+        return docs.limit(0).select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("version"))
     return store.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))

@@ -387,3 +387,76 @@ def test_pivotal_rounding_is_random_in_all_places(spark):
 def test_order_and_coin_of_a_unit_are_independent(spark):
     u = np.array([tuple(x) for x in spark.range(4000).select(mixing.uniform("id", F.lit(3), F.lit(0)), mixing.uniform("id", F.lit(3), F.lit(1))).collect()])
     assert abs(np.corrcoef(u.T)[0, 1]) < 0.06 and abs((u[:, 0] < 0.5).mean() - 0.5) < 0.04
+
+
+def test_an_empty_arrival_commits_nothing(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert store.append(docs.limit(0)) == 0 and store.versions() == [] and store.append(docs) == 1
+    assert store.append(docs.where("doc_id > 99")) == 1 and store.versions() == [1]
+    assert sharding.shard_documents(docs.limit(0), f"file://{tmp_path}/none").collect() == []
+
+
+def test_writers_that_race(spark, tmp_path):
+    """Of several writers at once each gets a version of its own, and no shard is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [sharding.ShardStore(spark, f"file://{tmp_path}/store") for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda i: stores[i]._change([sharding.Shard(f"s{i}", i)]), range(6)))
+    assert sorted(versions) == stores[0].versions() == [1, 2, 3, 4, 5, 6]
+    assert {s.path for s in stores[0].shards()} == {f"s{i}" for i in range(6)}
+
+
+def test_vacuum_spares_what_may_be_committed(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    store.append(docs)
+    pending = store._written(docs)  # of another writer
+    store.vacuum()
+    assert store._change(pending) == 2 and store.read().count() == 20
+    again = store._written(docs)
+    store.vacuum(grace=0)
+    assert store.versions() == [2] and store.read().count() == 20 and not any(store._fs.exists(store._path(s.path)) for s in again)
+
+
+def test_arrivals_are_cut_by_bytes(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    docs = spark.range(1000).repartition(1).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 400).alias("text"))
+    assert 80 <= store.rows_a_shard(docs, 100_000) <= 95
+    store.append(docs, n_bytes=100_000)
+    assert 10 <= len(store.shards()) <= 13
+
+
+def test_tiers_are_merged_as_in_a_plain_model(spark, monkeypatch, tmp_path):
+    """Which shards are due, round by round, on made-up sizes, against the rule written out."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20)
+    r = random.Random(1)
+    held = [sharding.Shard(f"s{i}", r.choice((900, 5_000, 5_500, 70_000, 80_000, 300_000, 600_000, 2 << 20))) for i in range(40)]
+    monkeypatch.setattr(store, "shards", lambda version=None: held)
+    rounds = 0
+    while due := store.due():
+        tiers = {}
+        for s in held:
+            if s.bytes < (1 << 20) // 2:
+                tier = 0
+                while 4 ** (tier + 1) <= s.bytes:
+                    tier += 1
+                tiers.setdefault(tier, []).append(s)
+        want = tiers[min(t for t in tiers if len(tiers[t]) >= 4)]
+        assert due == want
+        total = sum(s.bytes for s in due)
+        n = min(max(1, round(total / (1 << 20))), len(due) // 2)
+        held = [s for s in held if s not in due] + [sharding.Shard(f"m{rounds}-{k}", total // n) for k in range(n)]
+        rounds += 1
+    assert rounds >= 3
+
+
+def test_shards_of_documents_have_their_sizes(spark, tmp_path):
+    import os
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sharding.shard_documents(docs, f"file://{tmp_path}/store").collect()
+    sizes = {f: os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "store/data") for f in names}
+    assert {r.shard_bytes for r in got} and all(sizes[r.shard] == r.shard_bytes for r in got)
+    assert len({r.version for r in got}) == 1 and max(r.version for r in got) >= 3
