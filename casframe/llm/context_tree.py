@@ -4,23 +4,26 @@ A byte is eight binary decisions, one for each prefix of its bits.  Each decisio
 has a tree of contexts: none, the last byte, the last two, three and four.  Every node holds
 a Krichevsky-Trofimov estimate, and a node's weighted probability is half its own
 estimate's and half the product of its children's.  All contexts of up to DEPTH
-bytes that the training rows hold are nodes.  Learned over a corpus and then held
-fixed, the mixture gives each byte in each context a probability.  The model is a
-table of the distinct runs of DEPTH + 1 bytes with theirs, and the decisions of the
-contexts of up to three bytes, from which runs that training has not seen get
-theirs; it grows with the distinct runs of the corpus.
-
-With limits in DEEP only the most frequent contexts of three and four bytes are
-nodes, and what follows a node in other contexts is one more child of it.
+bytes that the training rows hold are nodes, without a limit.  Learned over a corpus and
+then held fixed, the mixture gives each byte in each context a probability.
+
+The tree is a distributed table of the distinct runs of DEPTH + 1 bytes, scored ones
+included.  Contexts that end in the same two bytes are a subtree, made by one task: it
+returns what its subtree says of each run, and the subtree's top nodes.  The nodes of one
+byte and of none, 65,280 at most, are added up from those.  The most frequent runs, TOP_RUNS at
+most, travel to the scorers; all others meet their probabilities in a join, whose keys are
+rare runs only.  With limits in DEEP only the most frequent contexts of three and four
+bytes are nodes, what follows a node in other contexts is one more child of it, and
+the model is one object that is sent to all scorers.
 
 Next to it stands a word unigram score.  Words are counted over the whole
 training part; the most frequent TOP_WORDS travel to the scorers, the others meet
-their counts in a join, whose keys are rare words only.
+their counts in the same join.
 
 Defined cases: a null or empty text is just its end; an end is a byte 0xFF, which UTF-8
 never holds; a null doc_id counts as the empty text in the split; repeated rows are
-counted and scored each; without training rows all estimates are even; other columns
-are left out.
+counted and scored each; without training rows all estimates are even; an empty table gives
+no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from casframe.llm.common import CACHE_ENTRIES, WordHashes, cut, kth_largest, sli
 
 #: Words whose counts are sent to every scorer: 16 bytes each.
 TOP_WORDS = 1 << 17
+#: Runs of bytes whose probabilities are sent to every scorer: 12 bytes each.
+TOP_RUNS = 1 << 20
 #: One in FOLDS is held out: those whose crc32 leaves HELD.
 FOLDS, HELD = 5, 1
 
@@ -83,8 +88,8 @@ def _lower(part: list[bytes | None]) -> list[bytes]:
     return [(t or b"").lower() for t in part]
 
 
-def training_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): runs of DEPTH + 1 bytes and words of all training rows, added up."""
+def training_counts(docs: DataFrame, scored: bool = False) -> DataFrame:
+    """(kind, key, n): runs of DEPTH + 1 bytes and words of all training rows, added up; with scored also the runs of the others, as n = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[int, int] = {}
@@ -101,25 +106,36 @@ def training_counts(docs: DataFrame) -> DataFrame:
             yield from rows(_WORD, keys.view(np.int64), np.fromiter(words.values(), np.int64, len(words)))
             words.clear()
 
-        for b in batches:
-            for _, part in slices(b.column(0)):
-                texts = _lower(part)
+        def told_apart() -> Iterator[tuple[list[bytes], bool]]:
+            for b in batches:
+                for start, part in slices(b.column(0)):
+                    held = b.column(1).slice(start, len(part)).to_pylist()
+                    for some in (False, True):
+                        if texts := _lower([t for t, h in zip(part, held, strict=True) if h == some]):
+                            yield texts, some
+
+        for texts, held in told_apart():
+            if held:
+                for k in np.unique(grams(texts)[0]).tolist():
+                    table.setdefault(k, 0)
+            else:
                 for k, n in zip(*(x.tolist() for x in np.unique(grams(texts)[0], return_counts=True)), strict=True):
                     table[k] = table.get(k, 0) + n
-                if len(table) > GRAM_ENTRIES:
-                    yield from rows(_GRAM, *_columns(table))
-                    table.clear()
                 ends += len(texts)
                 for t in texts:
                     words.update(t.split())
                 if len(words) > CACHE_ENTRIES:
                     yield from counted()
+            if len(table) > GRAM_ENTRIES:
+                yield from rows(_GRAM, *_columns(table))
+                table.clear()
         yield from counted()
         yield from rows(_GRAM, *_columns(table))
         if ends:
             yield from rows(_WORD, np.array([END_KEY], np.uint64).view(np.int64), np.array([ends]))
 
-    flat = docs.where(~held_out()).select(text_bytes().alias("t")).mapInArrow(run, "kind byte, key long, n long")
+    some = docs if scored else docs.where(~held_out())
+    flat = some.select(text_bytes().alias("t"), held_out().alias("h")).mapInArrow(run, "kind byte, key long, n long")
     return flat.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -379,6 +395,112 @@ def whole_model(runs: np.ndarray, n: np.ndarray) -> WholeModel:
     return model
 
 
+def subtree(runs: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Of distinct runs and their counts: the probability of a one that the nodes of DEPTH down to least bytes
+    mix for each of a run's eight decisions, and by bit the nodes of least bytes: keys, zeros, ones, log weights.
+
+    The key of a node is its context << 8 | decision.  Nodes that training has not met have even estimates.
+    """
+    context, byte = runs >> 8 << 8, runs & 255
+    mixed, tops = np.empty((len(runs), 8)), []
+    for bits in range(8):
+        one = byte >> (7 - bits) & 1
+        keys, at = np.unique(context | 1 << bits | byte >> (8 - bits), return_inverse=True)
+        n0, n1 = (np.bincount(at, n * x, len(keys)) for x in (1 - one, one))
+        weight, p = _log_kt(n0, n1), _kt((n0, n1))[at]
+        for depth in range(DEPTH - 1, least - 1, -1):
+            up, to = np.unique(keys & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+            n0, n1, weight = (np.bincount(to, x, len(up)) for x in (n0, n1, weight))
+            weight, stay = _weighted(n0, n1, weight)
+            keys, at = up, to[at]
+            p = stay[at] * _kt((n0, n1))[at] + (1 - stay[at]) * p
+        mixed[:, bits] = p
+        tops.append((keys, n0, n1, weight))
+    return mixed, tops
+
+
+def _weighted(n0: np.ndarray, n1: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weights of nodes whose children's add up to those given, and the shares of the nodes' own estimates."""
+    own = _log_kt(n0, n1)
+    both = np.logaddexp(own, children) - math.log(2)
+    return both, np.exp(own - math.log(2) - both)
+
+
+#: Bytes of context that a task's contexts share.
+SHARED = 2
+
+
+def run_scores(counts: DataFrame) -> DataFrame:
+    """(key, n, log10): every counted run, with the log10 probability of its last byte after the others."""
+    runs = counts.where(f"kind = {_GRAM}").select("key", "n", F.shiftright("key", 8).bitwiseAND((1 << 8 * SHARED) - 1).alias("suffix"))
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, n = (group[c].to_numpy().astype(np.int64) for c in ("key", "n"))
+        mixed, tops = subtree(keys, n, SHARED)
+        top = [np.concatenate(x) for x in zip(*tops, strict=True)]
+        none, other = len(keys), len(top[0])
+        lists = pa.array([*mixed, *[None] * other], pa.list_(pa.float64()))
+        numbers = [pa.array(np.concatenate([np.zeros(none), x])) for x in top[1:]]
+        return pa.table([pa.array(np.repeat([0, 1], [none, other]).astype(np.int8)), pa.array(np.concatenate([keys, top[0]])), pa.array(np.concatenate([n, np.zeros(other, np.int64)])), lists, *numbers], names=["kind", "key", "n", "p", "n0", "n1", "weight"])
+
+    parts = cut(runs.groupBy("suffix").applyInArrow(run, "kind byte, key long, n long, p array<double>, n0 double, n1 double, weight double"))
+    sums = parts.where("kind = 1").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weight"))).toArrow()  # 65,280 rows at most
+    at, n0, n1, children = (sums[c].to_numpy() for c in ("key", "n0", "n1", "weight"))
+    estimate, share = np.full(1 << 16, 0.5), np.full(1 << 16, 0.5)
+    weight, share[at] = _weighted(n0, n1, children)
+    estimate[at] = _kt((n0, n1))
+    n0, n1, children = (np.bincount(at & 255, x, 256) for x in (n0, n1, weight))
+    above = (estimate, share, _kt((n0, n1)), _weighted(n0, n1, children)[1])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e1, s1, e0, s0 = above
+        for b in batches:
+            runs = b.column(0).to_numpy()
+            p = np.asarray(b.column(2).flatten()).reshape(len(runs), 8)
+            byte, out = runs & 255, np.zeros(len(runs))
+            for bits in range(8):
+                decision = 1 << bits | byte >> (8 - bits)
+                last = (runs >> 8 & 255) << 8 | decision
+                q = s1[last] * e1[last] + (1 - s1[last]) * p[:, bits]
+                q = s0[decision] * e0[decision] + (1 - s0[decision]) * q
+                out += np.log10(np.where(byte >> (7 - bits) & 1 == 1, q, 1 - q))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["key", "n", "log10"])
+
+    return parts.where("kind = 0").select("key", "n", "p").mapInArrow(finish, "key long, n long, log10 double")
+
+
+@dataclass
+class KnownRuns:
+    """log10 P(byte | context) of the most frequent runs; that of the others is not here."""
+
+    keys: np.ndarray
+    known: np.ndarray
+
+    def look_up(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of runs, and which of them are known."""
+        runs, at = np.unique(number, return_inverse=True)
+        out, hit = np.zeros(len(runs)), np.zeros(len(runs), bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, runs), len(self.keys) - 1)
+            hit = self.keys[place] == runs
+            out[hit] = self.known[place[hit]]
+        return out[at], hit[at]
+
+
+def _runs_left(number: np.ndarray, hit: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """By text the distinct runs without a hit, and how often each occurs."""
+    left = np.flatnonzero(~hit)
+    text = np.searchsorted(starts, left, "right") - 1
+    order = np.lexsort((number[left], text))
+    run, text = number[left][order], text[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(run))).astype(np.int32)
+    offsets = pa.array(np.searchsorted(text[first], np.arange(len(starts) + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(run[first])), pa.ListArray.from_arrays(offsets, pa.array(times))
+
+
 def most_frequent(rows: DataFrame, count: str, most: int | None) -> DataFrame:
     """The rows with the largest counts: all if most is None or there are no more than most, else those above the next one's."""
     if most is None:
@@ -390,7 +512,7 @@ def most_frequent(rows: DataFrame, count: str, most: int | None) -> DataFrame:
 
 
 def learn(counts: DataFrame) -> Model | WholeModel:
-    """The model of training_counts."""
+    """The model of training_counts as one object: for limits in DEEP, or for corpora whose runs fit the driver."""
     runs = counts.where(f"kind = {_GRAM}").select("key", "n")
     if all(most is None for most in DEEP.values()):
         found = runs.toArrow()
@@ -415,8 +537,15 @@ def learn(counts: DataFrame) -> Model | WholeModel:
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    counts = cut(training_counts(docs))
-    tree = learn(counts)
+    whole = all(most is None for most in DEEP.values())
+    counts = cut(training_counts(docs, whole))
+    if whole:
+        scored = cut(run_scores(counts))
+        top = most_frequent(scored, "n", TOP_RUNS).select("key", "log10").toArrow()
+        order = np.argsort(top["key"].to_numpy())
+        tree = KnownRuns(top["key"].to_numpy()[order], top["log10"].to_numpy()[order].astype(np.float32))
+    else:
+        tree = learn(counts)
     words = counts.where(f"kind = {_WORD}").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = most_frequent(words, "n", TOP_WORDS).toArrow()
@@ -433,7 +562,9 @@ def score(docs: DataFrame) -> DataFrame:
             for start, part in slices(b.column(2)):
                 texts = _lower(part)
                 number, starts = grams(texts)
-                model = np.add.reduceat(tree.log10(number), starts)
+                values, hit = tree.look_up(number) if whole else (tree.log10(number), np.ones(len(number), bool))
+                model = np.add.reduceat(values, starts)
+                runs, run_times = _runs_left(number, hit, starts)
                 tokens, found, base, rare, times = [], [], [], [], []
                 for t in texts:
                     k, c = np.unique(np.append(known.of(t.split()), np.uint64(END_KEY)), return_counts=True)
@@ -451,25 +582,33 @@ def score(docs: DataFrame) -> DataFrame:
                 lists = lambda xs, kind: pa.array(xs, pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(part))), own.column(0), own.column(1), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(model), pa.array(-model * math.log2(10) / (n_bytes + 1)), lists(rare, pa.int64()), lists(times, pa.int32())],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_top", "top_score", "score", "bits_per_byte", "rare", "times"],
+                     pa.array(model), pa.array(n_bytes), lists(rare, pa.int64()), lists(times, pa.int32()), runs, run_times],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_top", "top_score", "top_runs", "n_bytes", "rare", "times", "runs", "run_times"],
                 )
                 row += len(part)
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, top_score double, score double, bits_per_byte double, rare array<bigint>, times array<int>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, top_score double, top_runs double, n_bytes long, rare array<bigint>, times array<int>, runs array<bigint>, run_times array<int>"
     rows = cut(docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("t")).mapInArrow(run, schema))
-    tail = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("key"), F.col("e.times").alias("times"))
-    tail = tail.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(below))).alias("tail_score"),
+    listed = lambda kind, keys, times: rows.select("row", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("e")).select("row", "kind", "e.key", "e.times")
+    tail = listed(_WORD, "rare", "times")
+    values = words.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    if whole:
+        tail = tail.unionByName(listed(_GRAM, "runs", "run_times"))
+        values = values.unionByName(scored.select(F.lit(_GRAM).alias("kind"), "key", F.col("log10").alias("value")))
+    is_word = F.col("kind") == _WORD
+    tail = tail.join(values, ["kind", "key"], "left").groupBy("row").agg(
+        F.sum(F.when(is_word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(is_word, F.col("times") * F.log10((F.coalesce("value", F.lit(0.0)) + 0.5) / F.lit(below))).otherwise(0.0)).alias("tail_score"),
+        F.sum(F.when(~is_word, F.col("times") * F.col("value")).otherwise(0.0)).alias("tail_runs"),
     )
-    return rows.drop("rare", "times").join(tail, "row", "left").select(
+    score_ = F.col("top_runs") + F.coalesce("tail_runs", F.lit(0.0))
+    return rows.drop("rare", "times", "runs", "run_times").join(tail, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_top") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("top_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        score_.alias("score"),
+        (-score_ * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -286,3 +286,26 @@ def test_every_context_is_learned_from_text(spark):
 def test_context_tree_without_training(spark):
     got = context_tree.score(spark.createDataFrame([(7, "ab")], "doc_id long, text string").where("doc_id < 0"))
     assert got.collect() == []
+
+
+@pytest.mark.parametrize("top", [0, 50, 1 << 20])
+def test_runs_score_alike_wherever_they_are_kept(spark, monkeypatch, top):
+    """The table of runs in parts, the runs sent to the scorers and those joined give what the model in one object gives."""
+    monkeypatch.setattr(context_tree, "TOP_RUNS", top)
+    rows = [(r.doc_id, r.text) for r in rows_of(spark, "documents").limit(60).collect()] + ODD
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, key int")
+    model = context_tree.learn(context_tree.training_counts(docs))
+    got = context_tree.score(docs).collect()
+    want = []
+    for i, t in rows:
+        number, _ = context_tree.grams([lower(t).encode()])
+        want.append((-1 if i is None else i, float(model.log10(number).sum())))
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got)
+    for x, y in zip(have, sorted(want), strict=True):
+        assert x[0] == y[0] and x[1] == pytest.approx(y[1], rel=1e-5, abs=1e-4)
+    assert sum(r.held_out for r in got) > 5
+
+
+def test_word_caches_are_bounded_in_bytes():
+    known = context_tree.WordHashes()
+    assert len(known.of([b"x" * 1_000_000, b"a", b"b" * 64])) == 3 and sorted(known) == [b"a", b"b" * 64]
