@@ -7,17 +7,21 @@ held value change nothing, and long documents stop after the first or second.
 
 Documents with the same shingles are one node.  Bands of the signature put nodes
 into buckets.  Each bucket's members are compared with its hub, the member whose
-buckets are the fullest; where that leaves a bucket in several components, its
-members of different components are compared with each other, large buckets in
-pairs of blocks, within tasks that return links only.  No member is dropped.
-A link is confirmed on the full shingle sets.  Links are grouped by union-find
+buckets are the fullest.  Where that leaves a small bucket in several components, its
+members of different components are compared by pairs.  The members of large ones meet
+by prefix filtering, which is exact: two sets that are similar enough share one of the
+rarest shingles of each, so many as the similarity leaves free to differ.  What shares no such
+shingle is never compared, however large its bucket; large groups that do share one are compared
+in pairs of blocks, within tasks that return links only.  No member is dropped.
+A link is confirmed on the full shingle sets.  Keys that may be hot (nodes, buckets,
+hubs, stars, shingles) are counted before they are joined.  Links are grouped by union-find
 within partitions, and by stars across them.
 
 Defined cases: a null text, or one without words, has no shingles and is linked
 with nothing; a row with a null doc_id takes the component of its text, and has a null
 one and is kept where no row with an id has that text; repeated rows of one doc_id are one
-document; an empty table gives no rows;
-other columns are not touched.
+document; an empty table gives no rows; very long texts are whole sets like any other;
+other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casframe.llm.common import WordHashes, cut, mix64, slices, stream64, text_bytes
+from casframe.llm.common import WordHashes, cut, join_by_count, mix64, slices, stream64, text_bytes, whole_rows
 
 WORDS = 5
 #: Linked from 85 % of the union on, as a fraction of whole numbers, unless the caller names another.
@@ -40,8 +44,10 @@ SIMILAR = (85, 100)
 MISSED = 2e-6
 #: Slots of a signature at most, unless one row a band needs more.
 SLOTS = 176
-#: A bucket with more members than this is compared in blocks of BLOCK.
+#: A bucket with more members than this is compared by prefix filtering, and a larger group there in blocks of BLOCK.
 SMALL_BUCKET, BLOCK = 16, 256
+#: Members that meet one copy of their hub's text.
+HUB_MEMBERS = 256
 #: Shingles counted at a time when two blocks are compared.
 COLUMNS = 1 << 14
 
@@ -134,29 +140,37 @@ def sketch(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     return docs.select("doc_id", text_bytes()).mapInArrow(run, schema)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool:
+    common = len(x) + len(y) - len(np.union1d(x, y))
+    return similar[1] * common >= similar[0] * (len(x) + len(y) - common)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.select("doc_id", text_bytes().alias("t")).join(ids, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a")
-    num, den = similar
+    """Links (a, b), a < b, of the pairs (hub, member, n) whose full shingle sets are similar enough.
+
+    n is about how many members a hub has.  Texts move to their hub's task, HUB_MEMBERS of them for each copy of
+    the hub's own text; tasks read them in order and hold one hub at a time.
+    """
+    chunk = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / HUB_MEMBERS)).cast("int")
+    wanted = cut(pairs.select("hub", "member", chunk.alias("chunk")))
+    wanted = wanted.select(F.col("member").alias("doc_id"), "hub", "chunk", F.lit(1).alias("of")).unionByName(wanted.select(F.col("hub").alias("doc_id"), "hub", "chunk", F.lit(0).alias("of")).distinct())
+    rows = docs.select("doc_id", text_bytes().alias("t")).join(wanted, "doc_id")
+    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "of").select("hub", "doc_id", "of", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = WordHashes(), (None, None)
+        known, hub, own = WordHashes(), None, None
         for b in batches:
-            for start, part in slices(b.column(2)):
-                hubs = b.column(3).slice(start, len(part)).to_pylist()
-                same = []
-                for t, hub in zip(part, hubs, strict=True):
-                    if last[0] != hub:
-                        last = (hub, shingle_hashes(hub.lower().split(), known))
-                    x, y = last[1], shingle_hashes(t.lower().split(), known)
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    same.append(den * common >= num * (len(x) + len(y) - common))
-                yield b.select(["a", "b"]).slice(start, len(part)).filter(pa.array(same, pa.bool_()))
+            for start, part in slices(b.column(3)):
+                links = []
+                for h, i, of, t in zip(*(b.column(c).slice(start, len(part)).to_pylist() for c in range(3)), part, strict=True):
+                    if of == 0:
+                        if h != hub:
+                            hub, own = h, shingle_hashes((t or b"").lower().split(), known)
+                    elif _similar(own, shingle_hashes((t or b"").lower().split(), known), similar):
+                        links.append((min(h, i), max(h, i)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +199,22 @@ def components(links: DataFrame) -> DataFrame:
     Alternates stars until nothing changes: each id's larger neighbours, then its smaller
     ones and itself, go to its least neighbour.
     """
-    edges = cut(links.mapInArrow(_forest, "a long, b long").distinct())
+    edges, held = cut(links.mapInArrow(_forest, "a long, b long").distinct()), None
+    state = (F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = large.join(least, "a")
+        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")))
+        total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        large = join_by_count(both.where("b > a"), least.where("n > 0"), ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_by_count(large, least, ["a"], "n", large.count())
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        new = cut(small.where("a <> b").distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-        edges = new
+        edges = cut(small.where("a <> b").distinct())
+        now = tuple(edges.agg(*state).first())
+        if now == held:
+            return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+        held = now
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -216,82 +234,125 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(similar: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
-    """Links between different components within one block, or between two.
+    """Links between different components within one block, or between two, of sets that share a shingle.
 
-    Pairs that meet in an earlier band are left to that band's bucket.
+    Pairs that share an earlier shingle of their prefixes are left to that one's group.
     """
+    sets_of = lambda group, at: [np.frombuffer(x, np.uint64) for x in group["packed"].take(pa.array(at)).to_pylist()]
 
     def links(group: pa.Table) -> pa.Table:
         ids, comps, own = (np.array(group[c]) for c in ("rep", "component", "own"))
-        bands = np.array(group["bands"].to_pylist(), np.int64)
-        low, high, bucket = (group[c][0].as_py() for c in ("low", "high", "bucket"))
+        low, high = (group[c][0].as_py() for c in ("low", "high"))
         a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
         todo = comps[a][:, None] != comps[b][None, :]
         if low == high:
             todo &= ids[a][:, None] < ids[b][None, :]
-        for i in range(int((bands[0] == bucket).argmax()) if len(ids) else 0):
-            todo &= bands[a, i][:, None] != bands[b, i][None, :]
         a, b, todo = a[todo.any(axis=1)], b[todo.any(axis=0)], todo[todo.any(axis=1)][:, todo.any(axis=0)]
         found = np.zeros((0, 2), np.int64)
         if len(a):
-            texts = group["t"].take(pa.array(np.concatenate([a, b]))).to_pylist()
-            known = WordHashes()
-            sets = [shingle_hashes((t or b"").lower().split(), known) for t in texts]
-            x, y = sets[: len(a)], sets[len(a) :]
+            before = [np.array(x, np.int64).view(np.uint64) for x in group["before"].to_pylist()]
+            todo &= common_counts([before[i] for i in a], [before[i] for i in b]) == 0
+        if todo.any():
+            x, y = sets_of(group, a), sets_of(group, b)
             common = common_counts(x, y)
             union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
             i, j = np.nonzero(todo & (similar[1] * common >= similar[0] * union))
             found = np.stack([ids[a[i]], ids[b[j]]], axis=1)
-            found = found[found[:, 0] != found[:, 1]]
         return pa.table({"a": pa.array(found.min(axis=1) if len(found) else found[:, 0]), "b": pa.array(found.max(axis=1) if len(found) else found[:, 0])})
 
     return links
 
 
+def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between different components of crowd (rep, component), found on shared rare shingles.
+
+    Sets of s and more shingles that are similar enough share all but s - ceil(similar * s) of them at most, so one
+    of the s - ceil(similar * s) + 1 that are the first of each in any one order; the rarest are the first here.
+    """
+    num, den = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for start, part in slices(b.column(1)):
+                sets = [shingle_hashes((t or b"").lower().split(), known) for t in part]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "packed", "shingles"])
+
+    texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("t")).join(crowd.select("rep"), "rep", "left_semi")
+    sets = cut(texts.mapInArrow(run, "rep long, packed binary, shingles array<bigint>").dropDuplicates(["rep"]))
+    rows = sets.select("rep", F.size("shingles").alias("s"), F.explode("shingles").alias("h"))
+    often = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    rows = join_by_count(rows, often, ["h"], "df", sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0])
+    order = Window.partitionBy("rep").orderBy("df", "h")
+    rows = rows.withColumns({"place": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("rep"))})
+    first = F.col("s") - F.ceil(F.col("s") * num / den) + 1
+    rows = rows.where(F.col("place") <= first - (F.col("s") - F.col("shared")))
+    rows = rows.groupBy("rep", "s").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("prefix"))  # of one document
+    prefix = F.transform("prefix", lambda x: x["h"])
+    rows = cut(rows.join(crowd, "rep").select("rep", "component", "s", F.posexplode(prefix).alias("place", "h"), prefix.alias("prefix")))
+    groups = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n"))
+    rows = join_by_count(rows, groups, ["h"], "n", rows.count())
+
+    few = rows.where(F.col("n") <= SMALL_BUCKET).select("h", "rep", "component", "s")
+    x, y = (few.select("h", F.col("rep").alias(i), F.col("component").alias(f"c{i}"), F.col("s").alias(f"s{i}")) for i in ("a", "b"))
+    near = F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num
+    pairs = cut(x.join(y, "h").where(near & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select(F.col("a").alias("hub"), F.col("b").alias("member"), F.lit(1).alias("n")).distinct())
+    links = verified(pairs, docs, similar)
+    many = rows.where(F.col("n") > SMALL_BUCKET)
+    if many.isEmpty():
+        return links
+    many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    many = many.select("h", "rep", "component", F.slice("prefix", F.lit(1), F.col("place")).alias("before"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.join(sets.select("rep", "packed"), "rep").select("h", "rep", "component", "before", "packed", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return links.unionByName(many.groupBy("h", "low", "high").applyInArrow(_block_links(similar), "a long, b long"))
+
+
 def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; similar is the least Jaccard similarity of a link, as a fraction."""
+    docs = docs.select("doc_id", "text")
     rows = cut(sketch(docs, similar))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    members = cut(rows.drop("bands").join(nodes, "node", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = rows.join(nodes, (rows.node == nodes.node) & (rows.doc_id == nodes.rep)).select("rep", "bands")
-
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    live = cut(banded.join(full, "bucket"))
+    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    total, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if not rows.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])  # else each of a repeated id's rows would meet its hubs
+
+    banded = nodes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
+    full = cut(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    live = cut(join_by_count(banded, full, ["bucket"], "n", n_nodes * banding(similar)[0]))
+    n_live = live.count()
     score = live.groupBy("rep").agg(F.sum("n").alias("score"))
-    hubs = live.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", -F.col("rep"))).alias("top")).select("bucket", (-F.col("top")[F.lit("col2")]).alias("hub"))
-    tried = live.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    tried = cut(tried)
+    hubs = live.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", -F.col("rep"))).alias("top"), F.max("n").alias("n")).select("bucket", (-F.col("top")[F.lit("col2")]).alias("hub"), "n")
+    # Of two members of several buckets the one with the higher score is the hub in all of them.
+    tried = join_by_count(live.select("bucket", F.col("rep").alias("member")), cut(hubs), ["bucket"], "n", n_live).where("member <> hub")
+    tried = cut(tried.groupBy("hub", "member").agg(F.max("n").alias("n")))
     links = cut(verified(tried, docs, similar))
 
     # Buckets that the hubs have not joined into one component.
     comp = cut(components(links))
-    known = live.join(comp, live.rep == comp.id, "left").select("rep", "bucket", "n", F.coalesce("component", "rep").alias("component"))
-    apart = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(known.join(apart, "bucket", "left_semi"))
+    known = cut(live.join(comp, live.rep == comp.id, "left").select("rep", "bucket", F.coalesce("component", "rep").alias("component")))
+    apart = cut(known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"))
+    rest = cut(join_by_count(known, apart, ["bucket"], "n", n_live))
     if not rest.isEmpty():
         few = rest.where(F.col("n") <= SMALL_BUCKET)
-        x = few.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        y = few.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        pairs = cut(x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        more = verified(pairs, docs, similar)
-        many = rest.where(F.col("n") > SMALL_BUCKET)
-        if not many.isEmpty():
-            texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("t")).join(reps.select("rep", "bands"), "rep")
-            many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-            many = many.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            many = many.select("bucket", "rep", "component", "bands", "t", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-            more = more.unionByName(many.groupBy("bucket", "low", "high").applyInArrow(_block_links(similar), "a long, b long"))
+        x, y = (few.select("bucket", F.col("rep").alias(i), F.col("component").alias(f"c{i}")) for i in ("a", "b"))
+        done = tried.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
+        pairs = x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        more = verified(cut(pairs.select(F.col("a").alias("hub"), F.col("b").alias("member"), F.lit(1).alias("n"))), docs, similar)
+        crowd = cut(rest.where(F.col("n") > SMALL_BUCKET).select("rep", "component").distinct())
+        if not crowd.isEmpty():
+            more = more.unionByName(by_prefixes(crowd, docs, similar))
         more = cut(more)
         if not more.isEmpty():
             comp = cut(components(links.unionByName(more)))
 
-    return members.join(comp, members.rep == comp.id, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept")
-    )
+    named = cut(nodes.join(comp, nodes.rep == comp.id, "left").select("node", "n", F.coalesce("component", "rep").alias("component_id")))
+    own = join_by_count(rows.select("doc_id", "n_shingles", "node"), named, ["node"], "n", total).select("doc_id", "n_shingles", "component_id")
+    own = own.unionByName(rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; of rows with a null doc_id all or none."""
     ids = verdicts.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi")
+    rows = docs.select(F.col("doc_id").alias("__doc"), whole_rows(docs).alias("__whole"))
+    return rows.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("__whole.*")

@@ -232,3 +232,55 @@ def test_history_and_arrivals_both_give_rows(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     kinds = {r.member: r["count"] for r in seen[0].groupBy("member").count().collect()}
     assert kinds[True] > 100 and kinds[False] > 20
+
+
+def passage_rows(n, seed=9):
+    """Texts that share 70 of 100 words and are not linked, with a linked pair for each twentieth."""
+    r = random.Random(seed)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for i in range(n):
+        own = passage + [f"o{r.randrange(10**7)}" for _ in range(30)]
+        rows.append((i, " ".join(own)))
+        if i % 20 == 0:
+            own[99 - r.randrange(3)] = "edit"
+            rows.append((10_000 + i, " ".join(own)))
+    return rows
+
+
+def test_a_large_bucket_of_unlinked_documents_is_not_compared_in_full(spark, monkeypatch):
+    """What meets by prefixes grows with the documents, and the links are those of brute force."""
+    met = []
+    verified = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *a: (met.append(pairs.count()), verified(pairs, *a))[1])
+    blocks = []
+    monkeypatch.setattr(near_dedup, "_block_links", lambda similar: blocks.append(1) or (lambda group: group))
+    for n in (400, 1600):
+        rows = passage_rows(n)
+        met.clear()
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+        crowd = docs.selectExpr("doc_id AS rep", "doc_id AS component")
+        links = {(x.a, x.b) for x in near_dedup.by_prefixes(crowd, docs, near_dedup.SIMILAR).collect()}
+        assert links == {(i, 10_000 + i) for i in range(0, n, 20)}
+        assert sum(met) <= n // 10 and not blocks
+        if n == 400:
+            assert near(spark, rows) == brute_near(rows)
+
+
+@pytest.mark.parametrize("block", [8, 200])
+def test_groups_that_share_rare_shingles(spark, monkeypatch, block):
+    """Groups of one prefix shingle that are compared in blocks give the links of brute force."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = group_of_copies(40, seed=6)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = {(x.a, x.b) for x in near_dedup.by_prefixes(docs.selectExpr("doc_id AS rep", "doc_id AS component"), docs, near_dedup.SIMILAR).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [words(lower(t))] for k in range(len(w) - 4)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert got == want and len(want) > 100
+
+
+def test_near_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 3}", 5, 6, 7) for i in range(9)] + [(1, "text 1", 5, 6, 7)] * 4, "doc_id long, text string, rep int, hub int, __id int")
+    got = near_dedup.one_of_each(docs, near_dedup.near_dedup(docs))
+    assert got.columns == docs.columns and sorted({tuple(r) for r in got.collect()}) == [(i, f"text {i}", 5, 6, 7) for i in range(3)]
