@@ -11,8 +11,9 @@ buckets are the fullest.  Where that leaves a small bucket in several components
 members of different components are compared by pairs.  The members of large ones meet
 by prefix filtering, which is exact: two sets that are similar enough share one of the
 rarest shingles of each, so many as the similarity leaves free to differ.  What shares no such
-shingle is never compared, however large its bucket; large groups that do share one are compared
-in pairs of blocks, within tasks that return links only.  No member is dropped.
+shingle is never compared, however large its bucket.  Of large groups that do share one, the members
+outside the group's largest component are compared with the blocks that hold the others, each
+block once whatever the number of shared shingles, within tasks that return links only.  No member is dropped.
 A link is confirmed on the full shingle sets.  Keys that may be hot (nodes, buckets,
 hubs, stars, shingles) are counted before they are joined.  Links are grouped by union-find
 within partitions, and by stars across them.
@@ -46,8 +47,10 @@ MISSED = 2e-6
 SLOTS = 176
 #: A bucket with more members than this is compared by prefix filtering, and a larger group there in blocks of BLOCK.
 SMALL_BUCKET, BLOCK = 16, 256
+#: Shingles that a block's members have on average at most, or the group has more blocks.
+BLOCK_SHINGLES = 1_000
 #: Members that meet one copy of their hub's text.
-HUB_MEMBERS = 256
+HUB_MEMBERS = 32
 #: Shingles counted at a time when two blocks are compared.
 COLUMNS = 1 << 14
 
@@ -234,26 +237,16 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(similar: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
-    """Links between different components within one block, or between two, of sets that share a shingle.
-
-    Pairs that share an earlier shingle of their prefixes are left to that one's group.
-    """
-    sets_of = lambda group, at: [np.frombuffer(x, np.uint64) for x in group["packed"].take(pa.array(at)).to_pylist()]
+    """Links between those of a group that ask and the members of their block, of different components."""
 
     def links(group: pa.Table) -> pa.Table:
-        ids, comps, own = (np.array(group[c]) for c in ("rep", "component", "own"))
-        low, high = (group[c][0].as_py() for c in ("low", "high"))
-        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        ids, comps, asks = (np.array(group[c]) for c in ("rep", "component", "asks"))
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         todo = comps[a][:, None] != comps[b][None, :]
-        if low == high:
-            todo &= ids[a][:, None] < ids[b][None, :]
         a, b, todo = a[todo.any(axis=1)], b[todo.any(axis=0)], todo[todo.any(axis=1)][:, todo.any(axis=0)]
         found = np.zeros((0, 2), np.int64)
-        if len(a):
-            before = [np.array(x, np.int64).view(np.uint64) for x in group["before"].to_pylist()]
-            todo &= common_counts([before[i] for i in a], [before[i] for i in b]) == 0
         if todo.any():
-            x, y = sets_of(group, a), sets_of(group, b)
+            x, y = ([np.frombuffer(s, np.uint64) for s in group["packed"].take(pa.array(at)).to_pylist()] for at in (a, b))
             common = common_counts(x, y)
             union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
             i, j = np.nonzero(todo & (similar[1] * common >= similar[0] * union))
@@ -263,6 +256,32 @@ def _block_links(similar: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
     return links
 
 
+def _in_blocks(many: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links of large groups: many has a row (h, rep, component, s, n) for each member of each group.
+
+    Any pair of different components has a member outside the group's largest component; that one asks.
+    A document's block is one of its largest group's, so that groups of the same documents have the same blocks.
+    """
+    n_rows = many.count()
+    parts = many.groupBy("h", "component").agg(F.count("*").alias("own"), F.sum("s").alias("s"))
+    groups = parts.groupBy("h").agg(F.max_by("component", F.struct("own", "component")).alias("major"), F.sum("own").alias("n"), F.sum("s").alias("sum_s"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("sum_s") / (BLOCK * BLOCK_SHINGLES))).cast("int")
+    many = cut(join_by_count(many.drop("n", "s"), cut(groups.select("h", "n", "major", blocks.alias("blocks"))), ["h"], "n", n_rows))
+    home = many.groupBy("rep", "component").agg(F.max(F.struct("n", "h", "blocks")).alias("home"))
+    home = cut(home.select("rep", "component", F.col("home.h").alias("home"), F.pmod(F.xxhash64("rep"), "home.blocks").cast("int").alias("part")))
+    asking = many.where(F.col("component") != F.col("major")).select("h", "rep")
+    holding = many.select("h", "rep").join(home.drop("component"), "rep").groupBy("h").agg(F.collect_set(F.struct("home", "part")).alias("held"))
+    held = cut(asking.groupBy("h").agg(F.count("*").alias("n")).join(holding, "h"))
+    asked = join_by_count(asking, held, ["h"], "n", n_rows).select("rep", F.explode("held").alias("b")).select("rep", "b.home", "b.part").distinct()
+    asked = cut(asked)
+    chunks = cut(asked.groupBy("home", "part").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    asked = join_by_count(asked, chunks, ["home", "part"], "n", asked.count()).select("rep", "home", "part", F.pmod(F.xxhash64("rep", F.lit(1)), "chunks").cast("int").alias("chunk"), F.lit(True).alias("asks"))
+    asked = asked.join(home.select("rep", "component"), "rep")
+    own = home.join(chunks.drop("n"), ["home", "part"]).select("rep", "home", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "component")
+    rows = asked.unionByName(own).join(sets.select("rep", "packed"), "rep")
+    return rows.groupBy("home", "part", "chunk").applyInArrow(_block_links(similar), "a long, b long").distinct()
+
+
 def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Links (a, b) between different components of crowd (rep, component), found on shared rare shingles.
 
@@ -279,7 +298,7 @@ def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) ->
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "packed", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("t")).join(crowd.select("rep"), "rep", "left_semi")
-    sets = cut(texts.mapInArrow(run, "rep long, packed binary, shingles array<bigint>").dropDuplicates(["rep"]))
+    sets = cut(texts.mapInArrow(run, "rep long, packed binary, shingles array<bigint>"))
     rows = sets.select("rep", F.size("shingles").alias("s"), F.explode("shingles").alias("h"))
     often = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     rows = join_by_count(rows, often, ["h"], "df", sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0])
@@ -287,9 +306,7 @@ def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) ->
     rows = rows.withColumns({"place": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("rep"))})
     first = F.col("s") - F.ceil(F.col("s") * num / den) + 1
     rows = rows.where(F.col("place") <= first - (F.col("s") - F.col("shared")))
-    rows = rows.groupBy("rep", "s").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("prefix"))  # of one document
-    prefix = F.transform("prefix", lambda x: x["h"])
-    rows = cut(rows.join(crowd, "rep").select("rep", "component", "s", F.posexplode(prefix).alias("place", "h"), prefix.alias("prefix")))
+    rows = cut(rows.select("rep", "h", F.col("s").cast("long").alias("s")).join(crowd, "rep"))
     groups = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n"))
     rows = join_by_count(rows, groups, ["h"], "n", rows.count())
 
@@ -301,10 +318,7 @@ def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) ->
     many = rows.where(F.col("n") > SMALL_BUCKET)
     if many.isEmpty():
         return links
-    many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    many = many.select("h", "rep", "component", F.slice("prefix", F.lit(1), F.col("place")).alias("before"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.join(sets.select("rep", "packed"), "rep").select("h", "rep", "component", "before", "packed", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return links.unionByName(many.groupBy("h", "low", "high").applyInArrow(_block_links(similar), "a long, b long"))
+    return links.unionByName(_in_blocks(many, sets, similar))
 
 
 def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
