@@ -90,10 +90,10 @@ def _copy(start: int, n: int) -> bytes:
         now = min(n, MAX_COPY)
         op, rest = 0x80, bytearray()
         for bit in range(7):
-            byte = (start >> 8 * bit if bit < 4 else now >> 8 * (bit - 4)) & 0xFF
-            if byte and not (bit >= 4 and now == ZERO_SIZE):
+            left = start >> 8 * bit if bit < 4 else now >> 8 * (bit - 4)
+            if left:  # bytes below the highest one that is not zero are written, zeros too
                 op |= 1 << bit
-                rest.append(byte)
+                rest.append(left & 0xFF)
         out.append(op)
         out += rest
         start, n = start + now, n - now
@@ -116,11 +116,14 @@ def _same_after(a: bytes, i: int, b: bytes, j: int) -> int:
     return low
 
 
-def encode(base: bytes, target: bytes) -> bytes:
+def index_of(base: bytes) -> dict[bytes, int]:
+    """The last place of each block of a base."""
+    return {base[i : i + BLOCK]: i for i in range(0, len(base) - BLOCK + 1, BLOCK)}
+
+
+def encode(base: bytes, target: bytes, places: dict[bytes, int] | None = None) -> bytes:
     """A delta from base to target: blocks of the base are found by their bytes, and matches grown both ways."""
-    places: dict[bytes, int] = {}
-    for i in range(0, len(base) - BLOCK + 1, BLOCK):
-        places.setdefault(base[i : i + BLOCK], i)
+    places = index_of(base) if places is None else places
     out = [put_varint(len(base)), put_varint(len(target))]
     done = at = 0
     while at + BLOCK <= len(target):

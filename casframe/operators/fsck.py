@@ -72,8 +72,7 @@ def check(objects: DataFrame, heads: DataFrame) -> DataFrame:
     )
     found = found.unionByName(_rows(bad.where("message IS NOT NULL"), "error", "id", F.col("message")))
     rest = stored.join(reached.select("id").distinct(), "id", "left_anti")
-    found = found.unionByName(_rows(rest.where("error IS NOT NULL"), "error", "id", F.col("error")))
-    found = found.unionByName(_rows(rest.where("error IS NULL"), "warning", "id", "object is not reachable"))
+    found = found.unionByName(_rows(rest, "warning", "id", "object is not reachable"))  # sound or not
     return found.distinct()
 
 
@@ -89,6 +88,15 @@ def cycles(edges: DataFrame) -> DataFrame:
     return left.select(F.col("tree_id").alias("id")).distinct()
 
 
+def unexpected_folders(objects_dir: str) -> list[str]:
+    """Paths of the folders below the object store that are none of its own."""
+    import os
+    import re
+
+    found = (os.path.relpath(os.path.join(folder, d), objects_dir) for folder, dirs, _ in os.walk(objects_dir) for d in dirs)
+    return sorted(x for x in found if not re.fullmatch("[0-9a-f]{2}", x))
+
+
 def unexpected_files(objects_dir: str) -> list[str]:
     """Paths below the object store that are no object files."""
     import os

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,17 +38,21 @@ def commits(objects: DataFrame) -> DataFrame:
     return objects.where("type = 'commit'").select("id", "payload").mapInArrow(run, COMMITS)
 
 
-def walk_order(parents: dict[str, list[str]], heads: list[str]) -> list[str]:
-    """Commits depth first, each head's first parents first, every commit once."""
-    out: dict[str, None] = {}
+def walk(parents_of: Callable[[str], Sequence[str]], heads: Sequence[str]) -> Iterator[str]:
+    """Commits depth first, each head's first parents first, every commit once; parents are asked for when they are needed."""
+    met: set[str] = set()
     for head in heads:
         stack = [head]
         while stack:
             now = stack.pop()
-            if now not in out:
-                out[now] = None
-                stack += reversed(parents.get(now) or [])
-    return list(out)
+            if now not in met:
+                met.add(now)
+                yield now
+                stack += reversed(parents_of(now))
+
+
+def walk_order(parents: dict[str, list[str]], heads: list[str]) -> list[str]:
+    return list(walk(lambda c: parents.get(c) or [], heads))
 
 
 def discovery(commits_: DataFrame, heads: list[str]) -> DataFrame:
@@ -95,12 +99,17 @@ def with_prefix(ids: DataFrame, prefix: str) -> DataFrame:
     return ids.where(F.startswith("id", F.lit(prefix.lower())))
 
 
-def resolve(commits_: DataFrame, head: str | None, revision: str) -> str:
-    """HEAD or @, a whole id, or a prefix of seven digits or more, with any number of ~ and ~N."""
+def parsed_revision(revision: str) -> tuple[str, int]:
+    """What a revision starts from, and how many first parents up it goes."""
     base, *steps = re.split(r"(~\d*)", revision.strip())
     if not re.fullmatch(r"(~\d*)*", "".join(steps)):
         raise Unknown(f"unknown revision: {revision}")
-    up = sum(int(s[1:] or 1) for s in steps if s)
+    return base, sum(int(s[1:] or 1) for s in steps if s)
+
+
+def resolve(commits_: DataFrame, head: str | None, revision: str) -> str:
+    """HEAD or @, a whole id, or a prefix of seven digits or more, with any number of ~ and ~N."""
+    base, up = parsed_revision(revision)
     if base in ("HEAD", "@"):
         if not head:
             raise Unknown("no snapshots yet")

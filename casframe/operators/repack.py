@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,16 +53,37 @@ def window_pairs(ranked: DataFrame, window: int = WINDOW) -> DataFrame:
     return ranked.select("id", "rn").join(offers, "rn")
 
 
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sizes = [len(codecs.pack_delta(i, delta.encode(base, target))) for i, base, target in zip(*(b.column(c).to_pylist() for c in ("base_id", "base", "target")), strict=True)]
-        yield b.select(["id", "rn", "base_id", "back"]).append_column("delta_bytes", pa.array(sizes, pa.int64()))
+#: Ranks that one task of pair_sizes reads in a row, with the WINDOW before them.
+STRETCH = 256
 
 
-def pair_sizes(pairs: DataFrame, canonical: DataFrame) -> DataFrame:
-    """The pairs with delta_bytes, the stored size of the delta; canonical is (id, canonical)."""
-    rows = pairs.join(canonical.select("id", F.col("canonical").alias("target")), "id").join(canonical.select(F.col("id").alias("base_id"), F.col("canonical").alias("base")), "base_id")
-    return rows.select("id", "rn", "base_id", "back", "base", "target").mapInArrow(_sized, "id string, rn long, base_id string, back int, delta_bytes long")
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the deltas of each row from those before it; the last WINDOW rows are held, each with its index."""
+    last: deque = deque(maxlen=WINDOW)
+    stretch = None
+    for b in batches:
+        out = []
+        for at, only_base, rn, id_, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != stretch:
+                stretch = at
+                last.clear()
+            if not only_base:
+                out += [(id_, rn, i, rn - n, len(codecs.pack_delta(i, delta.encode(base, data, places)))) for n, i, base, places in last if rn - n <= WINDOW]
+            last.append((rn, id_, data, delta.index_of(data)))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["id", "rn", "base_id", "back", "delta_bytes"])
+
+
+def pair_sizes(ranked: DataFrame, canonical: DataFrame) -> DataFrame:
+    """The pairs of the window (id, rn, base_id, back) with delta_bytes, the stored size of the delta; canonical is (id, canonical).
+
+    Ranks are cut into stretches; a text moves once, and once more where it is a base for the next stretch.
+    """
+    own = (F.col("rn") / STRETCH).cast("long")
+    stretches = F.array_distinct(F.array(own, ((F.col("rn") + WINDOW) / STRETCH).cast("long")))
+    rows = ranked.select("id", "rn").join(canonical.select("id", "canonical"), "id").withColumn("at", F.explode(stretches))
+    rows = rows.select("at", (F.col("at") != own).alias("only_base"), "rn", "id", "canonical").repartition("at").sortWithinPartitions("at", "rn")
+    return rows.mapInArrow(_sized, "id string, rn long, base_id string, back int, delta_bytes long")
 
 
 def full_sizes(canonical: DataFrame) -> DataFrame:

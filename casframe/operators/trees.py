@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casframe.functions import codecs
-from casframe.functions.hashing import int_bytes, object_id, tree_entry_bytes, utf16_key
+from casframe.functions.hashing import object_id, tree_entry_bytes, tree_payload, utf16_key
 from casframe.operators.base import cut
 
 ENTRY = "struct<pos:int,name:string,kind:tinyint,executable:boolean,object_id:string>"
@@ -36,6 +36,30 @@ def decoded_trees(objects: DataFrame, strict: bool = False) -> DataFrame:
     return objects.where("type = 'tree'").select("id", "payload").mapInArrow(run, f"tree_id string, entries array<{ENTRY}>, error string")
 
 
+def stored_trees(roots: DataFrame, load: Callable[[str], bytes | None]) -> DataFrame:
+    """(tree_id, entries) of the trees at and below the roots (id), level by level, each once; load gives a tree's payload.
+
+    Nothing but trees is read.  Those without a payload that is sound have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, load(i)) for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, p in got if p is not None], pa.string()), pa.array(["tree"] * sum(p is not None for _, p in got)), pa.array([p for _, p in got if p is not None], pa.binary())], names=["id", "type", "payload"])
+
+    front = seen = cut(roots.select("id").distinct())
+    rows = decoded_trees(roots.sparkSession.createDataFrame([], "id string, type string, payload binary"))
+    for _ in range(MAX_DEPTH + 1):
+        if front.isEmpty():
+            break
+        made = cut(decoded_trees(front.mapInArrow(run, "id string, type string, payload binary")).where("error IS NULL"))
+        rows = rows.unionByName(made)
+        down = made.select(F.explode("entries").alias("e")).where(f"e.kind = {codecs.DIRECTORY}").select(F.col("e.object_id").alias("id")).distinct()
+        front = cut(down.join(seen, "id", "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return rows.select("tree_id", "entries")
+
+
 def tree_entries(objects: DataFrame) -> DataFrame:
     """One row per entry: tree_id, pos, name, kind, executable, object_id."""
     return decoded_trees(objects).select("tree_id", F.explode("entries").alias("e")).select("tree_id", "e.*")
@@ -71,11 +95,10 @@ def roll_up(leaves: DataFrame) -> DataFrame:
         if below is not None:
             here = here.unionByName(below)
         entry = F.struct(utf16_key("name").alias("key"), tree_entry_bytes(F.col("name"), F.col("kind"), F.col("executable"), F.col("object_id")).alias("bytes"))
-        grouped = here.groupBy(F.col("dir").alias("d")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        grouped = here.groupBy(F.col("dir").alias("d")).agg(F.collect_list(entry).alias("entries"))
         made = dirs.where(F.col("depth") == depth).join(grouped, F.col("dir") == F.col("d"), "left")
-        body = F.aggregate(F.transform(F.coalesce("entries", F.array()), lambda e: e["bytes"]), F.unhex(F.lit("")), lambda a, x: F.concat(a, x))
-        payload = F.concat(F.unhex(F.lit("53565431")), int_bytes(F.coalesce(F.size("entries"), F.lit(0))), body)
-        made = cut(made.select("dir", payload.alias("payload"), F.coalesce(F.size("entries"), F.lit(0)).alias("n")).withColumn("id", object_id("tree", "payload")).select("dir", "id", "payload"))
+        payload = F.when(F.col("entries").isNull(), F.lit(bytearray(codecs.encode_tree([])))).otherwise(tree_payload(F.col("entries")))
+        made = cut(made.select("dir", payload.alias("payload")).withColumn("id", object_id("tree", "payload")).select("dir", "id", "payload"))
         done = made if done is None else done.unionByName(made)
         up = F.split("dir", "/")
         below = made.select(

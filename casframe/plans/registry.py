@@ -400,7 +400,7 @@ def delta_plan(spark, sf):
     full = cut(repack.full_sizes(canonical))
     ranked = repack.candidates(blobs.join(full.select("id", F.col("full_bytes").alias("stored_bytes")), "id").drop("canonical"))
     ranked = cut(ranked)
-    sizes = cut(repack.pair_sizes(repack.window_pairs(ranked), canonical))
+    sizes = cut(repack.pair_sizes(ranked, canonical))
     return repack.plan_frame(ranked, sizes, full)
 
 

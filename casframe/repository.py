@@ -153,20 +153,74 @@ class Repository:
         rows = graph.commits(self.objects()).where("error IS NULL")
         return rows.drop("error")
 
+    def commit(self, id_: str) -> codecs.Commit | None:
+        """One commit, read from its own file; None where there is no such commit."""
+        try:
+            kind, payload = store.load(self.objects_dir, id_, self.format_version)
+            return codecs.decode_commit(payload) if kind == "commit" else None
+        except (FileNotFoundError, codecs.Corrupt):
+            return None
+
+    def walk(self, heads: list[str], limit: int | None = None) -> list[tuple[str, codecs.Commit]]:
+        """The first commits that a walk from the heads meets, each read once; nothing else is."""
+        out: dict[str, codecs.Commit] = {}
+
+        def parents(id_: str) -> tuple[str, ...]:
+            return out[id_].parents if id_ in out else ()
+
+        for id_ in graph.walk(parents, heads):  # asks for a commit's parents after it has been given
+            if found := self.commit(id_):
+                out[id_] = found
+                if len(out) == limit:
+                    break
+        return list(out.items())
+
+    def commit_rows(self, walked: list[tuple[str, codecs.Commit]]) -> DataFrame:
+        """A walk as a table: rank, id, tree_id, parents, epoch_sec, nano, message."""
+        rows = [(n, i, c.tree_id, list(c.parents), c.epoch_sec, c.nano, c.message) for n, (i, c) in enumerate(walked)]
+        return self.spark.createDataFrame(rows, "rank long, id string, tree_id string, parents array<string>, epoch_sec long, nano int, message string")
+
     def resolve(self, revision: str) -> str:
-        return graph.resolve(cut(self.commits()), self.head(), revision)
+        """A commit's id; only files of ids with its prefix, and of commits on the way up, are read."""
+        base, up = graph.parsed_revision(revision)
+        head = self.head()
+        if base in ("HEAD", "@"):
+            if not head:
+                raise graph.Unknown("no snapshots yet")
+            found = [head]
+        elif re.fullmatch(rf"[0-9a-fA-F]{{{graph.LEAST_PREFIX},64}}", base):
+            found = [i for i in store.listed_ids(self.objects_dir, base.lower()) if self.commit(i)]
+        else:
+            found = []
+        if len(found) != 1:
+            raise graph.Unknown(f"{'ambiguous' if found else 'unknown'} revision: {revision}")
+        at = found[0]
+        for _ in range(up):
+            parents = c.parents if (c := self.commit(at)) else ()
+            if not parents:
+                raise graph.Unknown("revision goes past the first snapshot")
+            at = parents[0]
+        return at
+
+    def leaves(self, commits: DataFrame) -> DataFrame:
+        """Leaves of commits (id, tree_id), with root = commit id; no blob is read."""
+        objects_dir, version = self.objects_dir, self.format_version
+
+        def load(id_: str) -> bytes | None:
+            try:
+                kind, payload = store.load(objects_dir, id_, version)
+                return payload if kind == "tree" else None
+            except (FileNotFoundError, codecs.Corrupt):
+                return None
 
-    def leaves(self, commit_ids: DataFrame, objects: DataFrame | None = None) -> DataFrame:
-        """Leaves of the given commits (id), with root = commit id."""
-        objects = cut(objects if objects is not None else self.objects().where("error IS NULL").where("type <> 'blob'"))
-        entries = cut(trees.tree_entries(objects))
-        roots = graph.commits(objects).join(commit_ids, "id").select(F.col("id").alias("root"), "tree_id")
-        return trees.flatten(roots, entries, objects.where("type = 'tree'").select("id"))
+        found = cut(trees.stored_trees(commits.select(F.col("tree_id").alias("id")), load))
+        entries = cut(found.select("tree_id", F.explode("entries").alias("e")).select("tree_id", "e.*"))
+        return trees.flatten(commits.select(F.col("id").alias("root"), "tree_id"), entries, found.select(F.col("tree_id").alias("id")))
 
     def leaves_of(self, commit_id: str | None) -> DataFrame:
         if commit_id is None:
             return self.spark.createDataFrame([], LEAF)
-        return self.leaves(self.spark.createDataFrame([(commit_id,)], "id string")).drop("root")
+        return self.leaves(self.commit_rows(self.walk([commit_id], 1))).drop("root")
 
     # Scanning
 
@@ -248,7 +302,11 @@ class Repository:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for path, link, id_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    data = link.encode() if link is not None else open(os.path.join(root, path), "rb").read()
+                    full = os.path.join(root, path)
+                    if link is None and os.path.getsize(full) > codecs.MAX_PAYLOAD - codecs.MAX_HEADER:
+                        store.put_file(objects_dir, id_, full)
+                        continue
+                    data = link.encode() if link is not None else open(full, "rb").read()
                     if codecs.object_id("blob", data) != id_:
                         raise ValueError(f"file changed while it was read: {path}")
                     store.put(objects_dir, id_, store.packed("blob", data, version))
@@ -257,8 +315,10 @@ class Repository:
         new.mapInArrow(run, "n long").agg(F.sum("n")).first()
 
     def log(self, revision: str = "HEAD", limit: int = 50) -> DataFrame:
-        commits = cut(self.commits())
-        return graph.history(commits, graph.resolve(commits, self.head(), revision), limit)
+        """The first commits of the walk from a revision, with rank; only their files are read."""
+        if limit < 1:
+            raise ValueError("limit must be positive")
+        return self.commit_rows(self.walk([self.resolve(revision)], limit)).orderBy("rank")
 
     def diff(self, before: str | None = None, after: str | None = None) -> DataFrame:
         """Changes in order; without after against the working tree, without before from HEAD."""
@@ -278,17 +338,22 @@ class Repository:
 
     def preflight(self, commit_id: str) -> DataFrame:
         """Leaves of a commit, once every object that it needs has been found sound."""
-        objects = cut(self.objects())
-        bad = objects.where("error IS NOT NULL").select(F.col("id").alias("object_id"), "error")
-        leaves = cut(self.leaves(self.spark.createDataFrame([(commit_id,)], "id string"), objects.where("error IS NULL AND type <> 'blob'")).drop("root"))
+        leaves = cut(self.leaves_of(commit_id))
         blobs = leaves.where(f"kind <> {codecs.DIRECTORY}").select("object_id").distinct()
-        wrong = blobs.join(objects.where("error IS NULL AND type = 'blob'"), F.col("object_id") == F.col("id"), "left_anti").join(bad, "object_id", "left").first()
+        objects_dir, version = self.objects_dir, self.format_version
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blob_fault(objects_dir, i, version) for i in ids], pa.string())], names=["object_id", "error"])
+
+        wrong = blobs.mapInArrow(run, "object_id string, error string").where("error IS NOT NULL").first()
         if wrong:
-            raise RepositoryError(f"object {wrong.object_id} cannot be restored: {wrong.error or 'it is missing or not a blob'}")
+            raise RepositoryError(f"object {wrong.object_id} cannot be restored: {wrong.error}")
         clash = colliding_names(leaves).first()
         if clash:
             raise RepositoryError(f"names differ in case only: {clash.path}")
-        return leaves.join(objects.where("type = 'blob'").select(F.col("id").alias("object_id"), "payload"), "object_id", "left").select("path", "kind", "executable", "payload")
+        return leaves
 
     def restore(self, revision: str, target: str | None = None, force: bool = False) -> str:
         """Write a commit's tree into the repository's own folder, or another one; HEAD stays."""
@@ -314,7 +379,7 @@ class Repository:
                     continue
                 path = os.path.join(goal, name)
                 shutil.rmtree(path) if os.path.isdir(path) and not os.path.islink(path) else os.remove(path)
-            materialise(rows, goal)
+            materialise(rows, goal, self.objects_dir, self.format_version)
             if own:
                 with contextlib.suppress(FileNotFoundError):
                     os.remove(self._cache_path())
@@ -343,7 +408,7 @@ class Repository:
             head = self.head()
             if head is None:
                 return self.spark.createDataFrame([], "id string, form string, base_id string, before long, after long, depth int")
-            good = objects.where("error IS NULL")
+            good = objects.where("error IS NULL AND payload IS NOT NULL")  # larger ones stay legacy
             commits = cut(graph.commits(good))
             ranks = cut(graph.discovery(commits, [head]))
             hints, tree_ids = self._reachable(good, commits, ranks)
@@ -353,7 +418,7 @@ class Repository:
             full = cut(repack.full_sizes(canonical))
             blobs = canonical.where("type = 'blob'").join(hints, "id").select("id", "name", F.octet_length("canonical").cast("long").alias("size"), "stored_bytes", "base_id")
             ranked = cut(repack.candidates(blobs))
-            sizes = cut(repack.pair_sizes(repack.window_pairs(ranked), canonical))
+            sizes = cut(repack.pair_sizes(ranked, canonical))
             chosen = repack.plan_frame(ranked, sizes, full)
             rest = canonical.join(ranked.select("id"), "id", "left_anti").join(full, "id")
             small = F.col("full_bytes") < F.col("stored_bytes")
@@ -403,11 +468,14 @@ class Repository:
 
         rows.mapInArrow(run, "n long").agg(F.sum("n")).first()
 
-    def _all_commits(self, objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        commits = cut(graph.commits(objects).where("error IS NULL").drop("error"))
-        ranks = cut(graph.discovery(commits, [i for _, i in self.refs()]))
-        leaves = cut(self.leaves(ranks.select("id"), objects.where("type <> 'blob'")))
-        return commits, ranks, leaves
+    def _all_commits(self) -> tuple[DataFrame, DataFrame]:
+        """All commits that refs reach, with rank, and their leaves."""
+        heads = self.refs()
+        for name, id_ in heads:
+            if not re.fullmatch("[0-9a-f]{64}", id_):
+                raise RepositoryError(f"ref does not hold an object id: {name}")
+        commits = cut(self.commit_rows(self.walk([i for _, i in heads])))
+        return commits, cut(self.leaves(commits))
 
     def _index_path(self) -> str:
         return os.path.join(self.meta, "index", "vectors")
@@ -417,7 +485,7 @@ class Repository:
         model = search.embedder(embedder)
         with self.lock():
             objects = cut(self.objects().where("error IS NULL"))
-            _, _, leaves = self._all_commits(objects)
+            _, leaves = self._all_commits()
             ids = leaves.where(f"kind <> {codecs.DIRECTORY}").select(F.col("object_id").alias("id")).distinct()
             blobs = objects.where("type = 'blob'").join(ids, "id", "left_semi").select(F.col("id").alias("blob_id"), F.col("payload").alias("data"))
             texts = cut(search.extracted(blobs))
@@ -446,9 +514,8 @@ class Repository:
             model = search.embedder(open(f"{self._index_path()}/_embedder").read())
             index = self.spark.read.parquet(f"file://{self._index_path()}")
             best = cut(search.search(index, model.embed([query])[0], limit))
-            objects = cut(self.objects().where("error IS NULL AND type <> 'blob'"))
-            commits, ranks, leaves = self._all_commits(objects)
-            where = locate.newest_locations(leaves, ranks)
+            commits, leaves = self._all_commits()
+            where = locate.newest_locations(leaves, commits.select("id", "rank"))
             return search.located(best, where, commits).select("blob_id", "path", "commit_id", "message", "snippet", "score").orderBy(F.desc("score"), "blob_id")
 
     def fsck(self) -> list[tuple[str, str | None, str]]:
@@ -481,6 +548,7 @@ def fsck_folder(spark: SparkSession, root: str, layout: Layout = Layout()) -> li
     if not os.path.isdir(r.objects_dir):
         return [*out, ("error", None, "object database is missing")]
     out += [("warning", None, f"unexpected file in the object store: {p}") for p in fsck.unexpected_files(r.objects_dir)]
+    out += [("warning", None, f"unexpected directory in the object store: {p}") for p in fsck.unexpected_folders(r.objects_dir)]
     objects = store.read_objects(spark, r.objects_dir, version)
     found = fsck.check(cut(objects), spark.createDataFrame(refs, "name string, id string"))
     return out + [tuple(x) for x in found.orderBy("severity", "object_id", "message").toLocalIterator()]
@@ -511,16 +579,38 @@ def colliding_names(leaves: DataFrame) -> DataFrame:
     return ups.mapInArrow(run, "path string, key string").groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1")
 
 
-def materialise(rows: DataFrame, goal: str) -> None:
-    """Write (path, kind, executable, payload) below a folder, from the tasks."""
+def blob_fault(objects_dir: str, id_: str, version: int) -> str | None:
+    """Why a blob cannot be restored, or None; large ones are read in pieces."""
+    try:
+        try:
+            kind, _ = store.load(objects_dir, id_, version)
+            return None if kind == "blob" else "it is not a blob"
+        except codecs.TooLarge:
+            for _ in store.read_pieces(objects_dir, id_):
+                pass
+            return None
+    except FileNotFoundError:
+        return "it is missing"
+    except codecs.Corrupt as e:
+        return str(e)
+
+
+def materialise(rows: DataFrame, goal: str, objects_dir: str, version: int) -> None:
+    """Write (path, kind, executable, object_id) below a folder, from the tasks, each file from its object's."""
+
+    def pieces(id_: str) -> Iterator[bytes]:
+        try:
+            yield store.load(objects_dir, id_, version)[1]
+        except codecs.TooLarge:
+            yield from store.read_pieces(objects_dir, id_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, kind, executable, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, kind, executable, id_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 to = os.path.join(goal, path)
                 os.makedirs(to if kind == codecs.DIRECTORY else os.path.dirname(to), exist_ok=True)
                 if kind == codecs.SYMLINK:
-                    link = payload.decode()
+                    link = b"".join(pieces(id_)).decode()
                     if not link or "\0" in link:
                         raise ValueError(f"invalid link target: {path}")
                     with contextlib.suppress(FileNotFoundError):
@@ -529,9 +619,10 @@ def materialise(rows: DataFrame, goal: str) -> None:
                 elif kind == codecs.FILE:
                     draft = f"{to}.{uuid.uuid4().hex}.tmp"
                     with open(draft, "wb") as f:
-                        f.write(payload)
+                        for piece in pieces(id_):
+                            f.write(piece)
                     os.chmod(draft, stat.S_IRUSR | stat.S_IWUSR | (0o111 if executable else 0))
                     os.replace(draft, to)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
-    rows.select("path", "kind", "executable", "payload").mapInArrow(run, "n long").agg(F.sum("n")).first()
+    rows.select("path", "kind", "executable", "object_id").mapInArrow(run, "n long").agg(F.sum("n")).first()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +52,14 @@ def object_folders(objects_dir: str, prefix: str = "") -> Iterator[str]:
             yield d
 
 
+def listed_ids(objects_dir: str, prefix: str) -> list[str]:
+    """Ids with a prefix of two digits or more, from the listing of their one folder."""
+    try:
+        return sorted(i for f in os.listdir(f"{objects_dir}/{prefix[:2]}") if (i := prefix[:2] + f).startswith(prefix) and re.fullmatch("[0-9a-f]{64}", i))
+    except FileNotFoundError:
+        return []
+
+
 def has_objects(objects_dir: str) -> bool:
     return next(object_folders(objects_dir), None) is not None
 
@@ -71,15 +82,20 @@ def _opened(format_version: int):
         for b in batches:
             out = []
             for id_, data, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                form, base, raw, error = codecs.form_of(data), None, None, None
+                form, base, raw, error, large = codecs.form_of(data), None, None, None, None
                 try:
                     if format_version < 2 and form in ("full", "delta"):
                         raise codecs.Corrupt("container object in a format 1 repository")
                     base, raw = codecs.base_of(data), codecs.unpack(data)
+                except codecs.TooLarge:  # read in pieces; the payload stays in its file
+                    try:
+                        large = sum(map(len, codecs.payload_pieces(io.BytesIO(data).read, id_)))
+                    except codecs.Corrupt as e:
+                        error = str(e)
                 except codecs.Corrupt as e:
                     error = str(e)
-                out.append((id_, form, base, raw, size, error))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()))], names=["id", "form", "base_id", "raw", "stored_bytes", "error"])
+                out.append((id_, form, base, raw, size, error, large))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()))], names=["id", "form", "base_id", "raw", "stored_bytes", "error", "large"])
 
     return run
 
@@ -100,11 +116,11 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def resolved(files: DataFrame, format_version: int = 2, max_depth: int = codecs.MAX_DEPTH) -> DataFrame:
     """Canonical bytes of every stored object: deltas are joined to their bases, one level a round."""
-    shape = "id string, form string, base_id string, raw binary, stored_bytes long, error string"
+    shape = "id string, form string, base_id string, raw binary, stored_bytes long, error string, large long"
     opened = cut(files.select("id", "data", "stored_bytes").mapInArrow(_opened(format_version), shape))
-    whole = opened.where("form <> 'delta' OR error IS NOT NULL").select("id", "form", "base_id", "stored_bytes", F.lit(0).alias("depth"), F.col("raw").alias("canonical"), "error")
-    done, last = whole, whole.where("error IS NULL").select(F.col("id").alias("base_id"), F.col("canonical").alias("base"))
-    left = opened.where("form = 'delta' AND error IS NULL").drop("error")
+    whole = opened.where("form <> 'delta' OR error IS NOT NULL").select("id", "form", "base_id", "stored_bytes", F.lit(0).alias("depth"), F.col("raw").alias("canonical"), "error", "large")
+    done, last = whole, whole.where("error IS NULL AND large IS NULL").select(F.col("id").alias("base_id"), F.col("canonical").alias("base"))
+    left = opened.where("form = 'delta' AND error IS NULL").drop("error", "large")
     for depth in range(1, max_depth + 1):
         if left.isEmpty():
             break
@@ -112,7 +128,7 @@ def resolved(files: DataFrame, format_version: int = 2, max_depth: int = codecs.
         made = cut(ready.mapInArrow(_applied, "id string, form string, base_id string, stored_bytes long, depth int, canonical binary, error string"))
         if made.isEmpty():
             break
-        done = done.unionByName(made)
+        done = done.unionByName(made, allowMissingColumns=True)
         left = cut(left.join(made.select("id"), "id", "left_anti"))
         last = made.where("error IS NULL").select(F.col("id").alias("base_id"), F.col("canonical").alias("base"))
     # What has no base that could be read: it is missing, broken, on a cycle, or too deep.
@@ -120,15 +136,18 @@ def resolved(files: DataFrame, format_version: int = 2, max_depth: int = codecs.
     bad = done.where("error IS NOT NULL").select(F.col("id").alias("base_id"), F.lit(True).alias("broken"))
     why = F.when(F.col("stored").isNull(), "delta base is missing").when(F.col("broken"), "delta base is corrupt").otherwise("delta chain is a cycle, broken, or too deep")
     rest = left.join(bases, "base_id", "left").join(bad, "base_id", "left").select("id", "form", "base_id", "stored_bytes", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("binary").alias("canonical"), why.alias("error"))
-    return done.unionByName(rest)
+    return done.unionByName(rest, allowMissingColumns=True)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kinds, payloads, errors = [], [], []
-        for data, error in zip(b.column("canonical").to_pylist(), b.column("error").to_pylist(), strict=True):
+        large = b.column("large").to_pylist()
+        for data, error, n in zip(b.column("canonical").to_pylist(), b.column("error").to_pylist(), large, strict=True):
             kind = payload = None
-            if not error:
+            if not error and n is not None:
+                kind = "blob"
+            elif not error:
                 try:
                     kind, payload = codecs.parse_canonical(data)
                 except codecs.Corrupt as e:
@@ -136,7 +155,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds.append(kind)
             payloads.append(payload)
             errors.append(error)
-        sizes = [None if p is None else len(p) for p in payloads]
+        sizes = [n if p is None else len(p) for p, n in zip(payloads, large, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [b.column("id"), pa.array(kinds, pa.string()), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), b.column("form"), b.column("base_id"), b.column("depth"), b.column("stored_bytes"), pa.array(errors, pa.string())],
             names=["id", "type", "payload", "size", "form", "base_id", "depth", "stored_bytes", "error"],
@@ -144,7 +163,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_objects(spark: SparkSession, objects_dir: str, format_version: int = 2) -> DataFrame:
-    """Every object, decoded and checked against its id; error says what is wrong with the others."""
+    """Every object, decoded and checked against its id; error says what is wrong with the others.
+
+    A legacy blob above MAX_PAYLOAD is checked in pieces and has its size and a null payload; read_pieces gives that.
+    """
     if not has_objects(objects_dir):
         return spark.createDataFrame([], OBJECTS)
     return check_ids(resolved(stored_files(spark, objects_dir), format_version))
@@ -175,6 +197,65 @@ def put(objects_dir: str, id_: str, data: bytes, replace: bool = False) -> bool:
     return True
 
 
+def read_pieces(objects_dir: str, id_: str) -> Iterator[bytes]:
+    """The payload of a legacy object of any size, from its file."""
+    with open(object_path(objects_dir, id_), "rb") as f:
+        yield from codecs.payload_pieces(f.read, id_)
+
+
+def put_file(objects_dir: str, id_: str, source: str) -> bool:
+    """Store a file of any size as a legacy blob, in pieces; whether it is new.  Raises ValueError where it is not that blob."""
+    path = object_path(objects_dir, id_)
+    if os.path.exists(path):
+        return False
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    head = codecs.header("blob", os.path.getsize(source))
+    digest, stream = hashlib.sha256(head), zlib.compressobj()
+    try:
+        with open(source, "rb") as f, open(draft, "wb") as out:
+            out.write(stream.compress(head))
+            while piece := f.read(codecs.PIECE):
+                digest.update(piece)
+                out.write(stream.compress(piece))
+            out.write(stream.flush())
+            out.flush()
+            os.fsync(out.fileno())
+        if digest.hexdigest() != id_:
+            raise ValueError(f"file changed while it was read: {source}")
+        os.replace(draft, path)
+    finally:
+        if os.path.exists(draft):
+            os.remove(draft)
+    return True
+
+
+def load(objects_dir: str, id_: str, format_version: int = 2) -> tuple[str, bytes]:
+    """Type and payload of one stored object, from its file and those of its bases alone; raises Corrupt, or FileNotFoundError."""
+    chain, at = [], id_
+    while True:
+        with open(object_path(objects_dir, at), "rb") as f:
+            data = f.read()
+        form = codecs.form_of(data)
+        if format_version < 2 and form in ("full", "delta"):
+            raise codecs.Corrupt("container object in a format 1 repository")
+        chain.append((at, codecs.unpack(data)))
+        if form != "delta":
+            break
+        if len(chain) > codecs.MAX_DEPTH:
+            raise codecs.Corrupt("delta chain is a cycle, broken, or too deep")
+        at = codecs.base_of(data)
+    canonical = None
+    for at, raw in reversed(chain):
+        try:
+            canonical = raw if canonical is None else delta.apply(canonical, raw)
+        except delta.DeltaError as e:
+            raise codecs.Corrupt(f"invalid delta: {e}") from None
+        if hashlib.sha256(canonical).hexdigest() != at:
+            raise codecs.Corrupt("object digest does not match its id")
+    return codecs.parse_canonical(canonical)
+
+
 def packed(kind: str, payload: bytes, format_version: int) -> bytes:
     data = codecs.canonical(kind, payload)
     return codecs.pack_legacy(data) if format_version < 2 or len(data) > codecs.MAX_PAYLOAD else codecs.pack_full(data)
