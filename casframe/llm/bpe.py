@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from casframe.llm.common import CACHE_ENTRIES, slices, text_bytes
+from casframe.llm.common import CACHE_ENTRIES, CACHE_WORD, slices, text_bytes
 from casframe.llm.mph import PerfectHash
 
 
@@ -58,6 +58,8 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.decimal = {i: b"%d" % i for i in ranks.values()}
         # Pre-tokens of now and of before: when the first is full it becomes the second, so that frequent ones stay.
+        # Long ones are forgotten after their batch, which bounds the bytes of both.
+        self.long: list[str] = []
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
         self.before: dict[str, tuple[int, bytes, bytes]] = {}
 
@@ -103,6 +105,9 @@ class Encoder:
 
     def learn(self, tokens: set[str]) -> None:
         """Remember pre-tokens: number of ids, the ids as text, and the bytes they decode to."""
+        for token in self.long:
+            self.known.pop(token, None)
+        self.long = [token for token in tokens if len(token) > CACHE_WORD]
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.before = {}, self.known
         known, before, decimal = self.known, self.before, self.decimal.__getitem__

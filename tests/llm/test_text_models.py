@@ -309,3 +309,13 @@ def test_runs_score_alike_wherever_they_are_kept(spark, monkeypatch, top):
 def test_word_caches_are_bounded_in_bytes():
     known = context_tree.WordHashes()
     assert len(known.of([b"x" * 1_000_000, b"a", b"b" * 64])) == 3 and sorted(known) == [b"a", b"b" * 64]
+
+
+def test_long_pre_tokens_are_not_remembered(tokens):
+    ranks, library = tokens
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    long = "ab" * 5000
+    for batch in ({long, "cat"}, {"dog", long}, {"emu"}):
+        encoder.learn(batch)
+        assert all(encoder.known[t][0] == len(library.encode_ordinary(t)) for t in batch)
+    assert sorted(encoder.known) == ["cat", "dog", "emu"]
