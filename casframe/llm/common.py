@@ -106,13 +106,15 @@ def join_by_count(left: DataFrame, right: DataFrame, keys: list[str], n: str, to
     """left joined to right, which has one row and the number of left's rows, n, for each key.
 
     Keys that hold more than 1 / HOT_SHARE of left's total rows, fewer than HOT_SHARE by that
-    definition, are broadcast, so their rows stay where they are; the others meet in a shuffle, whose
-    keys are small.  Null keys are left out.
+    definition, are told by their hashes and broadcast, so their rows stay where they are; the others
+    meet in a shuffle, whose keys are small.  Null keys are left out.  right should be stored.
     """
-    most = max(total // HOT_SHARE, 1)
-    hot = right.where(F.col(n) > most)
-    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= most), keys)
-    return left.join(F.broadcast(hot), keys).unionByName(cold)
+    hashed = F.xxhash64(*keys)
+    found = [r[0] for r in right.where(F.col(n) > max(total // HOT_SHARE, 1)).select(hashed).collect()]
+    if not found:
+        return left.join(right, keys)
+    hot = hashed.isin(found)
+    return left.where(hot).join(F.broadcast(right.where(hot)), keys).unionByName(left.where(~hot).join(right.where(~hot), keys))
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

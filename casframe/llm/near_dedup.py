@@ -260,15 +260,17 @@ def _in_blocks(many: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
     """Links of large groups: many has a row (h, rep, component, s, n) for each member of each group.
 
     Any pair of different components has a member outside the group's largest component; that one asks.
-    A document's block is one of its largest group's, so that groups of the same documents have the same blocks.
+    A document's block is one of the largest component of its largest group, so that groups of alike documents have the same blocks.
     """
     n_rows = many.count()
     parts = many.groupBy("h", "component").agg(F.count("*").alias("own"), F.sum("s").alias("s"))
-    groups = parts.groupBy("h").agg(F.max_by("component", F.struct("own", "component")).alias("major"), F.sum("own").alias("n"), F.sum("s").alias("sum_s"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("sum_s") / (BLOCK * BLOCK_SHINGLES))).cast("int")
-    many = cut(join_by_count(many.drop("n", "s"), cut(groups.select("h", "n", "major", blocks.alias("blocks"))), ["h"], "n", n_rows))
-    home = many.groupBy("rep", "component").agg(F.max(F.struct("n", "h", "blocks")).alias("home"))
-    home = cut(home.select("rep", "component", F.col("home.h").alias("home"), F.pmod(F.xxhash64("rep"), "home.blocks").cast("int").alias("part")))
+    groups = parts.groupBy("h").agg(F.max_by("component", F.struct("own", "component")).alias("major"), F.sum("own").alias("n"))
+    many = cut(join_by_count(many.drop("n"), cut(groups), ["h"], "n", n_rows))
+    home = cut(many.groupBy("rep", "component").agg(F.max(F.struct("n", "major")).alias("of"), F.max("s").alias("s")).select("rep", "component", F.col("of.major").alias("home"), "s"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("s") / (BLOCK * BLOCK_SHINGLES))).cast("int")
+    homes = cut(home.groupBy("home").agg(blocks.alias("blocks"), F.count("*").alias("n")))
+    home = join_by_count(home.drop("s"), homes, ["home"], "n", home.count())
+    home = cut(home.select("rep", "component", "home", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("part")))
     asking = many.where(F.col("component") != F.col("major")).select("h", "rep")
     holding = many.select("h", "rep").join(home.drop("component"), "rep").groupBy("h").agg(F.collect_set(F.struct("home", "part")).alias("held"))
     held = cut(asking.groupBy("h").agg(F.count("*").alias("n")).join(holding, "h"))
