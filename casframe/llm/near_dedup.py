@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casframe.llm.common import WordHashes, cut, join_by_count, mix64, slices, stream64, text_bytes, whole_rows
+from casframe.llm.common import WordHashes, cut, join_by_count, mix64, release, slices, stream64, text_bytes, whole_rows
 
 WORDS = 5
 #: Linked from 85 % of the union on, as a fraction of whole numbers, unless the caller names another.
@@ -218,6 +218,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == held:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
         held = now
+        release(links.sparkSession)
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -311,6 +312,7 @@ def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) ->
     rows = cut(rows.select("rep", "h", F.col("s").cast("long").alias("s")).join(crowd, "rep"))
     groups = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n"))
     rows = join_by_count(rows, groups, ["h"], "n", rows.count())
+    release(docs.sparkSession)
 
     few = rows.where(F.col("n") <= SMALL_BUCKET).select("h", "rep", "component", "s")
     x, y = (few.select("h", F.col("rep").alias(i), F.col("component").alias(f"c{i}"), F.col("s").alias(f"s{i}")) for i in ("a", "b"))
@@ -342,12 +344,14 @@ def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame
     tried = join_by_count(live.select("bucket", F.col("rep").alias("member")), cut(hubs), ["bucket"], "n", n_live).where("member <> hub")
     tried = cut(tried.groupBy("hub", "member").agg(F.max("n").alias("n")))
     links = cut(verified(tried, docs, similar))
+    release(docs.sparkSession)
 
     # Buckets that the hubs have not joined into one component.
     comp = cut(components(links))
     known = cut(live.join(comp, live.rep == comp.id, "left").select("rep", "bucket", F.coalesce("component", "rep").alias("component")))
     apart = cut(known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"))
     rest = cut(join_by_count(known, apart, ["bucket"], "n", n_live))
+    release(docs.sparkSession)
     if not rest.isEmpty():
         few = rest.where(F.col("n") <= SMALL_BUCKET)
         x, y = (few.select("bucket", F.col("rep").alias(i), F.col("component").alias(f"c{i}")) for i in ("a", "b"))
@@ -358,6 +362,7 @@ def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame
         if not crowd.isEmpty():
             more = more.unionByName(by_prefixes(crowd, docs, similar))
         more = cut(more)
+        release(docs.sparkSession)
         if not more.isEmpty():
             comp = cut(components(links.unionByName(more)))
 
