@@ -23,9 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from casframe.llm.common import CACHE_ENTRIES, CACHE_WORD, slices, text_bytes
+from casframe.llm.common import CACHE_WORD, slices, text_bytes
 from casframe.llm.mph import PerfectHash
 
+#: Pre-tokens in each of the two generations that a worker remembers, also between its tasks: some 35 MB a generation.
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,7 +110,7 @@ class Encoder:
         for token in self.long:
             self.known.pop(token, None)
         self.long = [token for token in tokens if len(token) > CACHE_WORD]
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
         known, before, decimal = self.known, self.before, self.decimal.__getitem__
         new = []
