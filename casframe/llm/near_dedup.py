@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casframe.llm.common import WordHashes, cut, join_by_count, mix64, release, slices, stream64, text_bytes, whole_rows
+from casframe.llm.common import WordHashes, gathered, join_by_count, mix64, release, slices, stream64, text_bytes, whole_rows
 
 WORDS = 5
 #: Linked from 85 % of the union on, as a fraction of whole numbers, unless the caller names another.
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMIL
     the hub's own text; tasks read them in order and hold one hub at a time.
     """
     chunk = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / HUB_MEMBERS)).cast("int")
-    wanted = cut(pairs.select("hub", "member", chunk.alias("chunk")))
+    wanted = gathered(pairs.select("hub", "member", chunk.alias("chunk")))
     wanted = wanted.select(F.col("member").alias("doc_id"), "hub", "chunk", F.lit(1).alias("of")).unionByName(wanted.select(F.col("hub").alias("doc_id"), "hub", "chunk", F.lit(0).alias("of")).distinct())
     rows = docs.select("doc_id", text_bytes().alias("t")).join(wanted, "doc_id")
     rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "of").select("hub", "doc_id", "of", "t")
@@ -202,18 +202,18 @@ def components(links: DataFrame) -> DataFrame:
     Alternates stars until nothing changes: each id's larger neighbours, then its smaller
     ones and itself, go to its least neighbour.
     """
-    edges, held = cut(links.mapInArrow(_forest, "a long, b long").distinct()), None
+    edges, held = gathered(links.mapInArrow(_forest, "a long, b long").distinct()), None
     state = (F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")))
+        least = gathered(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")))
         total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         large = join_by_count(both.where("b > a"), least.where("n > 0"), ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        large = gathered(large)
+        least = gathered(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = join_by_count(large, least, ["a"], "n", large.count())
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut(small.where("a <> b").distinct())
+        edges = gathered(small.where("a <> b").distinct())
         now = tuple(edges.agg(*state).first())
         if now == held:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
@@ -266,18 +266,18 @@ def _in_blocks(many: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
     n_rows = many.count()
     parts = many.groupBy("h", "component").agg(F.count("*").alias("own"), F.sum("s").alias("s"))
     groups = parts.groupBy("h").agg(F.max_by("component", F.struct("own", "component")).alias("major"), F.sum("own").alias("n"))
-    many = cut(join_by_count(many.drop("n"), cut(groups), ["h"], "n", n_rows))
-    home = cut(many.groupBy("rep", "component").agg(F.max(F.struct("n", "major")).alias("of"), F.max("s").alias("s")).select("rep", "component", F.col("of.major").alias("home"), "s"))
+    many = gathered(join_by_count(many.drop("n"), gathered(groups), ["h"], "n", n_rows))
+    home = gathered(many.groupBy("rep", "component").agg(F.max(F.struct("n", "major")).alias("of"), F.max("s").alias("s")).select("rep", "component", F.col("of.major").alias("home"), "s"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("s") / (BLOCK * BLOCK_SHINGLES))).cast("int")
-    homes = cut(home.groupBy("home").agg(blocks.alias("blocks"), F.count("*").alias("n")))
+    homes = gathered(home.groupBy("home").agg(blocks.alias("blocks"), F.count("*").alias("n")))
     home = join_by_count(home.drop("s"), homes, ["home"], "n", home.count())
-    home = cut(home.select("rep", "component", "home", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("part")))
+    home = gathered(home.select("rep", "component", "home", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("part")))
     asking = many.where(F.col("component") != F.col("major")).select("h", "rep")
     holding = many.select("h", "rep").join(home.drop("component"), "rep").groupBy("h").agg(F.collect_set(F.struct("home", "part")).alias("held"))
-    held = cut(asking.groupBy("h").agg(F.count("*").alias("n")).join(holding, "h"))
+    held = gathered(asking.groupBy("h").agg(F.count("*").alias("n")).join(holding, "h"))
     asked = join_by_count(asking, held, ["h"], "n", n_rows).select("rep", F.explode("held").alias("b")).select("rep", "b.home", "b.part").distinct()
-    asked = cut(asked)
-    chunks = cut(asked.groupBy("home", "part").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    asked = gathered(asked)
+    chunks = gathered(asked.groupBy("home", "part").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")))
     asked = join_by_count(asked, chunks, ["home", "part"], "n", asked.count()).select("rep", "home", "part", F.pmod(F.xxhash64("rep", F.lit(1)), "chunks").cast("int").alias("chunk"), F.lit(True).alias("asks"))
     asked = asked.join(home.select("rep", "component"), "rep")
     own = home.join(chunks.drop("n"), ["home", "part"]).select("rep", "home", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "component")
@@ -301,23 +301,23 @@ def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) ->
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "packed", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("t")).join(crowd.select("rep"), "rep", "left_semi")
-    sets = cut(texts.mapInArrow(run, "rep long, packed binary, shingles array<bigint>"))
+    sets = gathered(texts.mapInArrow(run, "rep long, packed binary, shingles array<bigint>"))
     rows = sets.select("rep", F.size("shingles").alias("s"), F.explode("shingles").alias("h"))
-    often = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    often = gathered(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     rows = join_by_count(rows, often, ["h"], "df", sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0])
     order = Window.partitionBy("rep").orderBy("df", "h")
     rows = rows.withColumns({"place": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("rep"))})
     first = F.col("s") - F.ceil(F.col("s") * num / den) + 1
     rows = rows.where(F.col("place") <= first - (F.col("s") - F.col("shared")))
-    rows = cut(rows.select("rep", "h", F.col("s").cast("long").alias("s")).join(crowd, "rep"))
-    groups = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n"))
+    rows = gathered(rows.select("rep", "h", F.col("s").cast("long").alias("s")).join(crowd, "rep"))
+    groups = gathered(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n"))
     rows = join_by_count(rows, groups, ["h"], "n", rows.count())
     release(docs.sparkSession)
 
     few = rows.where(F.col("n") <= SMALL_BUCKET).select("h", "rep", "component", "s")
     x, y = (few.select("h", F.col("rep").alias(i), F.col("component").alias(f"c{i}"), F.col("s").alias(f"s{i}")) for i in ("a", "b"))
     near = F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num
-    pairs = cut(x.join(y, "h").where(near & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select(F.col("a").alias("hub"), F.col("b").alias("member"), F.lit(1).alias("n")).distinct())
+    pairs = gathered(x.join(y, "h").where(near & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select(F.col("a").alias("hub"), F.col("b").alias("member"), F.lit(1).alias("n")).distinct())
     links = verified(pairs, docs, similar)
     many = rows.where(F.col("n") > SMALL_BUCKET)
     if many.isEmpty():
@@ -328,45 +328,45 @@ def by_prefixes(crowd: DataFrame, docs: DataFrame, similar: tuple[int, int]) ->
 def near_dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; similar is the least Jaccard similarity of a link, as a fraction."""
     docs = docs.select("doc_id", "text")
-    rows = cut(sketch(docs, similar))
-    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    rows = gathered(sketch(docs, similar))
+    nodes = gathered(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     total, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not rows.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id"])  # else each of a repeated id's rows would meet its hubs
 
     banded = nodes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
-    full = cut(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    live = cut(join_by_count(banded, full, ["bucket"], "n", n_nodes * banding(similar)[0]))
+    full = gathered(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    live = gathered(join_by_count(banded, full, ["bucket"], "n", n_nodes * banding(similar)[0]))
     n_live = live.count()
     score = live.groupBy("rep").agg(F.sum("n").alias("score"))
     hubs = live.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", -F.col("rep"))).alias("top"), F.max("n").alias("n")).select("bucket", (-F.col("top")[F.lit("col2")]).alias("hub"), "n")
     # Of two members of several buckets the one with the higher score is the hub in all of them.
-    tried = join_by_count(live.select("bucket", F.col("rep").alias("member")), cut(hubs), ["bucket"], "n", n_live).where("member <> hub")
-    tried = cut(tried.groupBy("hub", "member").agg(F.max("n").alias("n")))
-    links = cut(verified(tried, docs, similar))
+    tried = join_by_count(live.select("bucket", F.col("rep").alias("member")), gathered(hubs), ["bucket"], "n", n_live).where("member <> hub")
+    tried = gathered(tried.groupBy("hub", "member").agg(F.max("n").alias("n")))
+    links = gathered(verified(tried, docs, similar))
     release(docs.sparkSession)
 
     # Buckets that the hubs have not joined into one component.
-    comp = cut(components(links))
-    known = cut(live.join(comp, live.rep == comp.id, "left").select("rep", "bucket", F.coalesce("component", "rep").alias("component")))
-    apart = cut(known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"))
-    rest = cut(join_by_count(known, apart, ["bucket"], "n", n_live))
+    comp = gathered(components(links))
+    known = gathered(live.join(comp, live.rep == comp.id, "left").select("rep", "bucket", F.coalesce("component", "rep").alias("component")))
+    apart = gathered(known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"))
+    rest = gathered(join_by_count(known, apart, ["bucket"], "n", n_live))
     release(docs.sparkSession)
     if not rest.isEmpty():
         few = rest.where(F.col("n") <= SMALL_BUCKET)
         x, y = (few.select("bucket", F.col("rep").alias(i), F.col("component").alias(f"c{i}")) for i in ("a", "b"))
         done = tried.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
         pairs = x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        more = verified(cut(pairs.select(F.col("a").alias("hub"), F.col("b").alias("member"), F.lit(1).alias("n"))), docs, similar)
-        crowd = cut(rest.where(F.col("n") > SMALL_BUCKET).select("rep", "component").distinct())
+        more = verified(gathered(pairs.select(F.col("a").alias("hub"), F.col("b").alias("member"), F.lit(1).alias("n"))), docs, similar)
+        crowd = gathered(rest.where(F.col("n") > SMALL_BUCKET).select("rep", "component").distinct())
         if not crowd.isEmpty():
             more = more.unionByName(by_prefixes(crowd, docs, similar))
-        more = cut(more)
+        more = gathered(more)
         release(docs.sparkSession)
         if not more.isEmpty():
-            comp = cut(components(links.unionByName(more)))
+            comp = gathered(components(links.unionByName(more)))
 
-    named = cut(nodes.join(comp, nodes.rep == comp.id, "left").select("node", "n", F.coalesce("component", "rep").alias("component_id")))
+    named = gathered(nodes.join(comp, nodes.rep == comp.id, "left").select("node", "n", F.coalesce("component", "rep").alias("component_id")))
     own = join_by_count(rows.select("doc_id", "n_shingles", "node"), named, ["node"], "n", total).select("doc_id", "n_shingles", "component_id")
     own = own.unionByName(rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
