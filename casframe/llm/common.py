@@ -94,24 +94,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Checkpointed bytes that one task reads at least, where a frame is cut into many more parts than its size asks for.
-PART_BYTES = 4 << 20
-
-
-def gathered(df: DataFrame) -> DataFrame:
-    """cut(df), and where its parts are far smaller than PART_BYTES, fewer of them, but no fewer than the cores.
-
-    The size is that of the stored files, so large frames keep their parts.
-    """
-    out = cut(df)
-    context = df.sparkSession.sparkContext
-    stored = out._jdf.queryExecution().analyzed().rdd()
-    path = context._jvm.org.apache.hadoop.fs.Path(stored.getCheckpointFile().get())
-    size = path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    parts = max(context.defaultParallelism, -(-size // PART_BYTES))
-    return out.coalesce(parts) if 4 * parts <= stored.getNumPartitions() else out
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints of frames that are no longer held.
 
