@@ -12,7 +12,8 @@ of equal number go by role, then by text as the output has it; a null conv_id is
 conversation without turns gives an empty output; records that no mapping fits
 have a null output and keep their fingerprint; other columns are left out.  Text that
 is not JSON, or more than a variant holds, is an error.  Rows that are turns already do
-not pass through JSON; a conversation's output must fit one value, 2 GiB, or the query fails.
+not pass through JSON, but their columns are fingerprinted and mapped as the fields of records are; conversations of
+rows that no mapping fits have nulls; a conversation's output must fit one value, 2 GiB, or the query fails.
 Time is in proportion to the turns and their texts, but for sorting the turns.
 """
 
@@ -81,6 +82,13 @@ MAPPINGS = (
     Mapping(("input", "instruction", "output"), fixed=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
 )
 
+#: Records of one turn each, which are rows with these columns beside the conversation's key.
+TURN_MAPPINGS = (
+    Mapping(("role", "text", "turn"), text="text", order="turn"),
+    Mapping(("content", "role", "turn"), order="turn"),
+    Mapping(("from", "turn", "value"), role="from", text="value", order="turn", roles=(("human", "user"), ("gpt", "assistant"))),
+)
+
 
 def field_paths(record: Column) -> Column:
     """The sorted leaf paths of a variant object of up to two levels, as an array."""
@@ -96,19 +104,20 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+def _named(role: Column, m: Mapping) -> Column:
+    for old, new in m.roles:
+        role = F.when(role == old, F.lit(new)).otherwise(role)
+    return F.coalesce(role, F.lit(""))
+
+
 def _turns(record: Column, m: Mapping) -> Column:
     def text(v: Column, path: str) -> Column:
         return F.try_variant_get(v, f"$.{path}", "string")
 
-    def named(role: Column) -> Column:
-        for old, new in m.roles:
-            role = F.when(role == old, F.lit(new)).otherwise(role)
-        return F.coalesce(role, F.lit(""))
-
     if m.turns:
         items = F.try_variant_get(record, f"$.{m.turns}", "array<variant>")
         order = (lambda v: F.try_variant_get(v, f"$.{m.order}", "bigint")) if m.order else (lambda v: F.lit(0).cast("long"))
-        turns = F.transform(items, lambda v: F.struct(order(v).alias("n"), named(text(v, m.role)).alias("role"), F.coalesce(text(v, m.text), F.lit("")).alias("text")))
+        turns = F.transform(items, lambda v: F.struct(order(v).alias("n"), _named(text(v, m.role), m).alias("role"), F.coalesce(text(v, m.text), F.lit("")).alias("text")))
         turns = F.array_sort(turns) if m.order else turns
         return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     turns = F.array(*(F.struct(F.lit(r).alias("role"), text(record, p).alias("text")) for r, p in m.fixed))
@@ -126,6 +135,22 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     return rows.withColumn("turns", turns).drop("__v")
 
 
+def single_turns(records: DataFrame, key: str, mappings: tuple[Mapping, ...] = TURN_MAPPINGS) -> DataFrame:
+    """key, fingerprint, fits, n, role and text of rows that are one turn each; n, role and text are null where no mapping fits.
+
+    A row's field paths are its columns; columns that no mapping names are no fields.
+    """
+    fields = sorted({p for m in mappings for p in m.paths} & set(records.columns))
+    own = fingerprint(F.array(*(F.lit(c) for c in fields)).cast("array<string>"))
+    fits, turn = F.lit(False), {"n": F.lit(None), "role": F.lit(None), "text": F.lit(None)}
+    for m in mappings:
+        n, role, text = (F.col(c) if c in fields else F.lit(None) for c in (m.order, m.role, m.text))
+        this = F.col("fingerprint") == fingerprint(F.array(*(F.lit(c) for c in sorted(m.paths))))
+        fits = fits | this
+        turn = {c: F.when(this, value).otherwise(turn[c]) for c, value in (("n", n), ("role", _named(role, m)), ("text", text))}
+    return records.select(key, *fields, own.alias("fingerprint")).select(key, "fingerprint", fits.alias("fits"), *(value.alias(c) for c, value in turn.items()))
+
+
 def _body(rows: DataFrame, key: str) -> DataFrame:
     """Turn rows (key, n, role, text) with what the output has of each: s, and the lengths of its head and text.
 
@@ -209,7 +234,9 @@ def digests(formatted: DataFrame, key: str) -> DataFrame:
     return back.select(key, "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row for each conversation of rows (conv_id, turn, role, text), which are turns already."""
-    body = _body(conversations.select("conv_id", F.col("turn").alias("n"), "role", "text"), "conv_id")
-    return digests(cut(_formatted(body, "conv_id", ("n", "who", "s"))), "conv_id")  # stored, so that a task holds the output or what is read back
+def format_conversations(conversations: DataFrame, mappings: tuple[Mapping, ...] = TURN_MAPPINGS) -> DataFrame:
+    """One row for each conversation of rows (conv_id, and a turn as the mapping of their fingerprint names its columns: turn, role, text)."""
+    rows = single_turns(conversations, "conv_id", mappings)
+    body = _body(rows.where("fits").select("conv_id", "n", "role", "text"), "conv_id")
+    formatted = cut(_formatted(body, "conv_id", ("n", "who", "s")))  # stored, so that a task holds the output or what is read back
+    return digests(formatted, "conv_id").unionByName(rows.where("NOT fits").select("conv_id").distinct(), allowMissingColumns=True)

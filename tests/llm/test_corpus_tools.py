@@ -491,3 +491,26 @@ def test_rules_are_mined_from_all_tokens_of_long_urls(spark):
             if sum(hold) >= max(0.02 * len(rows), 5) and np.mean(hold) >= 0.6 and not any(set(s) < set(items) and rules[s] >= np.mean(hold) for s in rules):
                 rules[items] = np.mean(hold)
     assert rules and {x.items: pytest.approx(x.confidence) for x in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6) if len(x.items) < 6} == rules
+
+
+def test_conversations_are_read_as_their_fingerprint_says(spark):
+    """Rows of three layouts give the same digests, by the mapping that the fingerprint of their columns selects; an unknown layout gives nulls."""
+    turns = [(1, 1, "assistant", "b<s>"), (1, 0, "user", "a"), (2, 0, "assistant", None)]
+    layouts = {
+        ("turn", "role", "text"): turns,
+        ("turn", "role", "content"): turns,
+        ("turn", "from", "value"): [(c, n, {"user": "human", "assistant": "gpt"}[role], text) for c, n, role, text in turns],
+        ("turn", "role", "value"): turns,
+    }
+    got = []
+    for names, rows in layouts.items():
+        frame = spark.createDataFrame(rows, "conv_id long, {} long, {} string, {} string".format(*names))
+        out = {r.conv_id: r.asDict() for r in chat.format_conversations(frame).collect()}
+        record = json.dumps(dict.fromkeys(names, ""))
+        want = chat.canonical_turns(spark.createDataFrame([(record,)], "record string")).first().fingerprint
+        assert {r.fingerprint for r in chat.single_turns(frame, "conv_id").collect()} == {want} and set(out) == {1, 2}
+        got.append(out)
+    assert got[0] == got[1] == got[2] and (got[0][1]["n_turns"], got[0][1]["loss_chars"]) == (2, 4)
+    assert all(v is None for r in got[3].values() for c, v in r.items() if c != "conv_id")
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(frame, mappings=()).where("n_turns IS NOT NULL").isEmpty()
