@@ -16,7 +16,7 @@ outside the group's largest component are compared with the blocks that hold the
 block once whatever the number of shared shingles, within tasks that return links only.  No member is dropped.
 A link is confirmed on the full shingle sets.  Keys that may be hot (nodes, buckets,
 hubs, stars, shingles) are counted before they are joined.  Links are grouped by union-find
-within partitions, and by stars across them.
+within partitions, and by stars across them until few enough are left for one task.
 
 Defined cases: a null text, or one without words, has no shingles and is linked
 with nothing; a row with a null doc_id takes the component of its text, and has a null
@@ -53,6 +53,8 @@ BLOCK_SHINGLES = 1_000
 HUB_MEMBERS = 32
 #: Shingles counted at a time when two blocks are compared.
 COLUMNS = 1 << 14
+#: Links, of 16 bytes, that one task groups; more go through rounds of stars first.
+LINKS_OF_A_TASK = 1 << 19
 
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -196,15 +198,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = LINKS_OF_A_TASK) -> DataFrame:
     """(id, component) of every linked id but the least of each component, which names it.
 
     Alternates stars until nothing changes: each id's larger neighbours, then its smaller
-    ones and itself, go to its least neighbour.
+    ones and itself, go to its least neighbour.  When no more than few links are left, one task groups them.
     """
     edges, held = cut(links.mapInArrow(_forest, "a long, b long").distinct()), None
     state = (F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")))
     while True:
+        if (held[0] if held else edges.count()) <= few:
+            return edges.coalesce(1).mapInArrow(_forest, "a long, b long").toDF("id", "component")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")))
         total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

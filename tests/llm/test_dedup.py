@@ -284,3 +284,23 @@ def test_near_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(i, f"text {i % 3}", 5, 6, 7) for i in range(9)] + [(1, "text 1", 5, 6, 7)] * 4, "doc_id long, text string, rep int, hub int, __id int")
     got = near_dedup.one_of_each(docs, near_dedup.near_dedup(docs))
     assert got.columns == docs.columns and sorted({tuple(r) for r in got.collect()}) == [(i, f"text {i}", 5, 6, 7) for i in range(3)]
+
+
+def test_few_links_are_grouped_in_one_task_as_stars_group_them(spark):
+    """The same components with and without rounds of stars; few links take far fewer jobs."""
+    r = random.Random(31)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + r.randrange(400), 1500 + r.randrange(400)) for _ in range(350)] + [(5000, 4000)]
+    links = spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long").repartition(7)
+    least = {}
+    for a, b in pairs * 2:
+        x, y = least.get(a, {a}), least.get(b, {b})
+        both = x | y
+        least.update(dict.fromkeys(both, both))
+    want = {i: min(own) for i, own in least.items() if i != min(own)}
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for few in (0, near_dedup.LINKS_OF_A_TASK):
+        spark.sparkContext.setJobGroup(f"components-{few}", "")
+        assert {x.id: x.component for x in near_dedup.components(links, few).collect()} == want
+        jobs.append(len(tracker.getJobIdsForGroup(f"components-{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] * 4 < jobs[0]
