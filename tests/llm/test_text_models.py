@@ -319,3 +319,46 @@ def test_long_pre_tokens_are_not_remembered(tokens):
         encoder.learn(batch)
         assert all(encoder.known[t][0] == len(library.encode_ordinary(t)) for t in batch)
     assert sorted(encoder.known) == ["cat", "dog", "emu"]
+
+
+def test_pairs_of_bytes_are_looked_up_for_a_whole_batch(tokens):
+    ranks, library = tokens
+
+    class Counted(dict):
+        calls = 0
+
+        def get(self, key):
+            self.calls += 1
+            return super().get(key)
+
+    encoder, r = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(8)
+    encoder.merges = Counted(encoder.merges)
+    batch = {"".join(r.choice("etaoinshr\u00e9\u4e2d") for _ in range(r.randrange(8, 40))) for _ in range(300)}
+    encoder.learn(batch)
+    ids = {t: library.encode_ordinary(t) for t in batch}
+    assert all(encoder.known[t][0] == len(ids[t]) for t in batch)
+    assert encoder.merges.calls <= sum(2 * (len(t.encode()) - len(ids[t])) for t in batch)  # two neighbours a merge
+
+
+def test_pre_tokens_found_again_outlast_new_ones(tokens, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    encoder = bpe.Encoder(tokens[0], public_tokenizers.PATTERN)
+    new = lambda n: {f"zq{n}x{i}" for i in range(12)}
+    for n, extra in enumerate(({"again"}, {"again"}, set(), set(), set())):
+        encoder.learn(new(n) | extra)
+    assert "again" in encoder.known and "zq0x0" not in encoder.known
+    for n in range(5, 100):  # all are found again: no more than a batch above the bound is kept
+        encoder.learn(new(n) | new(n - 1))
+        assert max(len(encoder.often), len(encoder.known) - len(encoder.often), len(encoder.before) / 2) <= 10 + 24
+
+
+def test_bpe_digests_with_sparse_ranks(tokens):
+    ranks, library = tokens
+    sparse = {k: 7 * r + 100_000 for k, r in ranks.items()}
+    texts = ["", "Some words, zqxj \u4e2d\u00e9 " * 3, "", "w" * 300 + " qzj", "\n"]
+    counts, ids, decoded = bpe.Encoder(sparse, public_tokenizers.PATTERN).digests(texts)
+    want = [[7 * i + 100_000 for i in library.encode_ordinary(t)] for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids == [hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest() for w in want]
+    assert decoded == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert bpe.Encoder(sparse, public_tokenizers.PATTERN).encode(texts[1]) == want[1]
