@@ -12,7 +12,8 @@ included.  Contexts that end in the same two bytes are a subtree, made by one ta
 returns what its subtree says of each run, and the subtree's top nodes.  The nodes of one
 byte and of none, 65,280 at most, are added up from those.  The most frequent runs, TOP_RUNS at
 most, travel to the scorers; all others meet their probabilities in a join, whose keys are
-rare runs only.  With limits in DEEP only the most frequent contexts of three and four
+rare runs, and for each row one of its own that carries what the scorer knows of it.  Texts
+are scored when the result is read, again at each reading.  With limits in DEEP only the most frequent contexts of three and four
 bytes are nodes, what follows a node in other contexts is one more child of it, and
 the model is one object that is sent to all scorers.
 
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,8 +55,10 @@ DEPTH = 4
 DEEP: dict[int, int | None] = {3: None, 4: None}
 END = b"\xff"
 END_KEY = xxhash.xxh3_64_intdigest(b"")  # no word is empty
-_GRAM, _WORD = 0, 1
+_GRAM, _WORD, _ROW = 0, 1, 2
 _BATCH = 1 << 16
+#: Bytes of text whose runs are numbered at a time; the arrays for that take up to 50 times as much.
+STEP_BYTES = 1 << 19
 
 
 def held_out():
@@ -65,23 +68,64 @@ def held_out():
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte and end of the texts the bytes before and itself, as one number; and where texts start."""
     pad = END * DEPTH
-    x = np.frombuffer(pad + b"".join(part for t in texts for part in (t, pad)), np.uint8).astype(np.int64)
-    n = len(x) - DEPTH
-    number = np.zeros(n, np.int64)
-    for back in range(DEPTH, -1, -1):
-        number = number << 8 | x[DEPTH - back : DEPTH - back + n]
+    number = _numbers(pad + b"".join(part for t in texts for part in (t, pad)))
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     starts = np.cumsum(sizes) - sizes
     inside = np.repeat(np.arange(len(texts)) * (DEPTH - 1), sizes)  # the other ends of a text are the next one's context only
-    return number[np.arange(len(inside)) + inside], starts
+    inside += np.arange(len(inside))
+    return number[inside], starts
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    """Each DEPTH + 1 bytes in a row as one number."""
+    x = np.frombuffer(data, np.uint8)
+    n = len(x) - DEPTH
+    number = np.zeros(n, np.int64)
+    for back in range(DEPTH, -1, -1):
+        number <<= 8
+        number |= x[DEPTH - back : DEPTH - back + n]
+    return number
+
+
+def gram_steps(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What grams gives, by pieces of STEP_BYTES of a single long text."""
+    if len(texts) != 1 or len(texts[0]) <= STEP_BYTES:
+        yield grams(texts)
+        return
+    data = END * DEPTH + texts[0] + END
+    for i in range(0, len(texts[0]) + 1, STEP_BYTES):
+        yield _numbers(data[i : i + STEP_BYTES + DEPTH]), np.zeros(1, np.int64)
 
 
 #: Byte runs that a task counts before it passes them on.
 GRAM_ENTRIES = 1_000_000
 
 
-def _columns(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+class RunCounts:
+    """Distinct runs and their counts as sorted arrays; new ones are added up once they are a quarter of most."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.new = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+    def add(self, number: np.ndarray, once: int) -> bool:
+        """Count each occurrence once times; true if there are more than most runs now."""
+        keys, n = np.unique(number, return_counts=True)
+        self.parts.append((keys, n * once))
+        self.new += len(keys)
+        return self.new > self.most // 4 and len(self.sums()[0]) > self.most
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([k for k, _ in self.parts])
+        n = np.concatenate([c for _, c in self.parts])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.parts, self.new = [(keys[first], np.add.reduceat(n, first) if len(first) else n)], 0
+        return self.parts[0]
 
 
 def _lower(part: list[bytes | None]) -> list[bytes]:
@@ -91,8 +135,10 @@ def _lower(part: list[bytes | None]) -> list[bytes]:
 def training_counts(docs: DataFrame, scored: bool = False) -> DataFrame:
     """(kind, key, n): runs of DEPTH + 1 bytes and words of all training rows, added up; with scored also the runs of the others, as n = 0."""
 
+    most = GRAM_ENTRIES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[int, int] = {}
+        table = RunCounts(most)
         words: Counter[bytes] = Counter()
         ends = 0
 
@@ -108,29 +154,25 @@ def training_counts(docs: DataFrame, scored: bool = False) -> DataFrame:
 
         def told_apart() -> Iterator[tuple[list[bytes], bool]]:
             for b in batches:
-                for start, part in slices(b.column(0)):
+                for start, part in slices(b.column(0), STEP_BYTES):
                     held = b.column(1).slice(start, len(part)).to_pylist()
                     for some in (False, True):
                         if texts := _lower([t for t, h in zip(part, held, strict=True) if h == some]):
                             yield texts, some
 
         for texts, held in told_apart():
-            if held:
-                for k in np.unique(grams(texts)[0]).tolist():
-                    table.setdefault(k, 0)
-            else:
-                for k, n in zip(*(x.tolist() for x in np.unique(grams(texts)[0], return_counts=True)), strict=True):
-                    table[k] = table.get(k, 0) + n
+            for number, _ in gram_steps(texts):
+                if table.add(number, 0 if held else 1):
+                    yield from rows(_GRAM, *table.sums())
+                    table.clear()
+            if not held:
                 ends += len(texts)
                 for t in texts:
                     words.update(t.split())
                 if len(words) > CACHE_ENTRIES:
                     yield from counted()
-            if len(table) > GRAM_ENTRIES:
-                yield from rows(_GRAM, *_columns(table))
-                table.clear()
         yield from counted()
-        yield from rows(_GRAM, *_columns(table))
+        yield from rows(_GRAM, *table.sums())
         if ends:
             yield from rows(_WORD, np.array([END_KEY], np.uint64).view(np.int64), np.array([ends]))
 
@@ -430,8 +472,8 @@ def _weighted(n0: np.ndarray, n1: np.ndarray, children: np.ndarray) -> tuple[np.
 SHARED = 2
 
 
-def run_scores(counts: DataFrame) -> DataFrame:
-    """(key, n, log10): every counted run, with the log10 probability of its last byte after the others."""
+def run_scores(counts: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Every counted run as (key, n, p), and what makes (key, log10) of such rows: the log10 probability of a run's last byte after the others."""
     runs = counts.where(f"kind = {_GRAM}").select("key", "n", F.shiftright("key", 8).bitwiseAND((1 << 8 * SHARED) - 1).alias("suffix"))
 
     def run(group: pa.Table) -> pa.Table:
@@ -439,7 +481,8 @@ def run_scores(counts: DataFrame) -> DataFrame:
         mixed, tops = subtree(keys, n, SHARED)
         top = [np.concatenate(x) for x in zip(*tops, strict=True)]
         none, other = len(keys), len(top[0])
-        lists = pa.array([*mixed, *[None] * other], pa.list_(pa.float64()))
+        ends = np.minimum(np.arange(none + other + 1), none).astype(np.int32) * 8
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(mixed.ravel()), mask=pa.array(np.arange(none + other) >= none))
         numbers = [pa.array(np.concatenate([np.zeros(none), x])) for x in top[1:]]
         return pa.table([pa.array(np.repeat([0, 1], [none, other]).astype(np.int8)), pa.array(np.concatenate([keys, top[0]])), pa.array(np.concatenate([n, np.zeros(other, np.int64)])), lists, *numbers], names=["kind", "key", "n", "p", "n0", "n1", "weight"])
 
@@ -456,7 +499,7 @@ def run_scores(counts: DataFrame) -> DataFrame:
         e1, s1, e0, s0 = above
         for b in batches:
             runs = b.column(0).to_numpy()
-            p = np.asarray(b.column(2).flatten()).reshape(len(runs), 8)
+            p = np.asarray(b.column(1).flatten()).reshape(len(runs), 8)
             byte, out = runs & 255, np.zeros(len(runs))
             for bits in range(8):
                 decision = 1 << bits | byte >> (8 - bits)
@@ -464,9 +507,9 @@ def run_scores(counts: DataFrame) -> DataFrame:
                 q = s1[last] * e1[last] + (1 - s1[last]) * p[:, bits]
                 q = s0[decision] * e0[decision] + (1 - s0[decision]) * q
                 out += np.log10(np.where(byte >> (7 - bits) & 1 == 1, q, 1 - q))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["key", "n", "log10"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["key", "log10"])
 
-    return parts.where("kind = 0").select("key", "n", "p").mapInArrow(finish, "key long, n long, log10 double")
+    return parts.where("kind = 0").select("key", "n", "p"), lambda some: some.select("key", "p").mapInArrow(finish, "key long, log10 double")
 
 
 @dataclass
@@ -487,8 +530,8 @@ class KnownRuns:
         return out[at], hit[at]
 
 
-def _runs_left(number: np.ndarray, hit: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """By text the distinct runs without a hit, and how often each occurs."""
+def _runs_left(number: np.ndarray, hit: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text the distinct runs without a hit, and how often each occurs: text, run, times."""
     left = np.flatnonzero(~hit)
     text = np.searchsorted(starts, left, "right") - 1
     order = np.lexsort((number[left], text))
@@ -496,18 +539,19 @@ def _runs_left(number: np.ndarray, hit: np.ndarray, starts: np.ndarray) -> tuple
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(run))).astype(np.int32)
-    offsets = pa.array(np.searchsorted(text[first], np.arange(len(starts) + 1)).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(run[first])), pa.ListArray.from_arrays(offsets, pa.array(times))
+    return text[first], run[first], np.diff(np.append(first, len(run)))
+
 
+def most_frequent(rows: DataFrame, count: str, most: int | None, counted: DataFrame | None = None) -> DataFrame:
+    """The rows with the largest counts: all if most is None or there are no more than most, else those above the next one's.
 
-def most_frequent(rows: DataFrame, count: str, most: int | None) -> DataFrame:
-    """The rows with the largest counts: all if most is None or there are no more than most, else those above the next one's."""
+    counted has the same counts in shorter rows, if given.
+    """
     if most is None:
         return rows
     if not most:
         return rows.limit(0)
-    least = kth_largest(rows, count, most + 1)
+    least = kth_largest(rows if counted is None else counted, count, most + 1)
     return rows if least is None else rows.where(F.col(count) > F.lit(least))
 
 
@@ -534,14 +578,18 @@ def learn(counts: DataFrame) -> Model | WholeModel:
     return compile_model((column(triples, "key"), column(triples, "n")), deep)
 
 
+#: What the scorers know of a row itself.
+_OWN = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_top", pa.int64()), ("top_score", pa.float64()), ("top_runs", pa.float64()), ("n_bytes", pa.int64())])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     whole = all(most is None for most in DEEP.values())
     counts = cut(training_counts(docs, whole))
     if whole:
-        scored = cut(run_scores(counts))
-        top = most_frequent(scored, "n", TOP_RUNS).select("key", "log10").toArrow()
+        scored, finished = run_scores(counts)
+        top = finished(most_frequent(scored, "n", TOP_RUNS, counts.where(f"kind = {_GRAM}").select("n"))).toArrow()
         order = np.argsort(top["key"].to_numpy())
         tree = KnownRuns(top["key"].to_numpy()[order], top["log10"].to_numpy()[order].astype(np.float32))
     else:
@@ -557,14 +605,22 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known_keys, known_log10 = shared.value
         known = WordHashes()
-        row = TaskContext.get().partitionId() << 36
+        first = TaskContext.get().partitionId() << 36
+
+        def flat(kind: int, text: np.ndarray, key: np.ndarray, times: np.ndarray, own: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(key), _BATCH):
+                n = len(key[i : i + _BATCH])
+                columns = [pa.array(first + text[i : i + n]), pa.array(np.full(n, kind, np.int8)), pa.array(key[i : i + n]), pa.array(times[i : i + n].astype(np.int32)), pa.nulls(n, _OWN) if own is None else own.slice(i, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "kind", "key", "times", "own"])
+
         for b in batches:
-            for start, part in slices(b.column(2)):
+            for start, part in slices(b.column(2), STEP_BYTES):
                 texts = _lower(part)
-                number, starts = grams(texts)
-                values, hit = tree.look_up(number) if whole else (tree.log10(number), np.ones(len(number), bool))
-                model = np.add.reduceat(values, starts)
-                runs, run_times = _runs_left(number, hit, starts)
+                model = np.zeros(len(texts))
+                for number, starts in gram_steps(texts):
+                    values, hit = tree.look_up(number) if whole else (tree.log10(number), np.ones(len(number), bool))
+                    model += np.add.reduceat(values, starts)
+                    yield from flat(_GRAM, *_runs_left(number, hit, starts))
                 tokens, found, base, rare, times = [], [], [], [], []
                 for t in texts:
                     k, c = np.unique(np.append(known.of(t.split()), np.uint64(END_KEY)), return_counts=True)
@@ -576,39 +632,36 @@ def score(docs: DataFrame) -> DataFrame:
                     found.append(int(c[hit].sum()))
                     base.append(float((known_log10[at[hit]] * c[hit]).sum()))
                     rare.append(k[~hit].view(np.int64))
-                    times.append(c[~hit].astype(np.int32))
+                    times.append(c[~hit])
+                yield from flat(_WORD, np.repeat(np.arange(len(texts)), [len(k) for k in rare]), np.concatenate(rare), np.concatenate(times))
                 own = b.slice(start, len(part))
                 n_bytes = np.fromiter(map(len, texts), np.int64, len(texts))
-                lists = lambda xs, kind: pa.array(xs, pa.list_(kind))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(part))), own.column(0), own.column(1), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(model), pa.array(n_bytes), lists(rare, pa.int64()), lists(times, pa.int32()), runs, run_times],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_top", "top_score", "top_runs", "n_bytes", "rare", "times", "runs", "run_times"],
-                )
-                row += len(part)
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, top_score double, top_runs double, n_bytes long, rare array<bigint>, times array<int>, runs array<bigint>, run_times array<int>"
-    rows = cut(docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("t")).mapInArrow(run, schema))
-    listed = lambda kind, keys, times: rows.select("row", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("e")).select("row", "kind", "e.key", "e.times")
-    tail = listed(_WORD, "rare", "times")
-    values = words.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
+                columns = [own.column(0), own.column(1), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(model), pa.array(n_bytes)]
+                row = np.arange(len(texts))
+                yield from flat(_ROW, row, first + row, np.zeros(len(texts), int), pa.StructArray.from_arrays(columns, fields=list(_OWN)))
+                first += len(part)
+
+    # A row's own columns pass the join under a key of their own, so that texts are scored once and nothing is stored for a second reading.
+    own = "struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, n_top: bigint, top_score: double, top_runs: double, n_bytes: bigint>"
+    rows = docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("t")).mapInArrow(run, f"row long, kind byte, key long, times int, own {own}")
+    values = words.select(F.lit(_WORD).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value"))
     if whole:
-        tail = tail.unionByName(listed(_GRAM, "runs", "run_times"))
-        values = values.unionByName(scored.select(F.lit(_GRAM).alias("kind"), "key", F.col("log10").alias("value")))
+        values = values.unionByName(finished(scored).select(F.lit(_GRAM).cast("byte").alias("kind"), "key", F.col("log10").alias("value")))
     is_word = F.col("kind") == _WORD
-    tail = tail.join(values, ["kind", "key"], "left").groupBy("row").agg(
+    found = rows.join(values, ["kind", "key"], "left").groupBy("row").agg(
+        *(F.max(f"own.{c.name}").alias(c.name) for c in _OWN),  # of one row that has them
         F.sum(F.when(is_word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.when(is_word, F.col("times") * F.log10((F.coalesce("value", F.lit(0.0)) + 0.5) / F.lit(below))).otherwise(0.0)).alias("tail_score"),
-        F.sum(F.when(~is_word, F.col("times") * F.col("value")).otherwise(0.0)).alias("tail_runs"),
+        F.sum(F.when(F.col("kind") == _GRAM, F.col("times") * F.col("value")).otherwise(0.0)).alias("tail_runs"),
     )
-    score_ = F.col("top_runs") + F.coalesce("tail_runs", F.lit(0.0))
-    return rows.drop("rare", "times", "runs", "run_times").join(tail, "row", "left").select(
+    score_ = F.col("top_runs") + F.col("tail_runs")
+    return found.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_top") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_top") + F.col("known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("top_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
+        (F.col("top_score") + F.col("tail_score")).alias("base_score"),
         score_.alias("score"),
         (-score_ * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 import tiktoken
 
 from casframe.llm import bpe, context_tree, importance, quality_rules
-from casframe.llm.common import bounded_sample, kth_largest
+from casframe.llm.common import bounded_sample, cut, kth_largest
 from test_dedup import lower, words
 
 SF = "/root/testdata/sf0.01"
@@ -306,6 +307,54 @@ def test_runs_score_alike_wherever_they_are_kept(spark, monkeypatch, top):
     assert sum(r.held_out for r in got) > 5
 
 
+def test_scoring_stores_two_tables(spark, monkeypatch):
+    """Each stored partition makes an executor start other programs; counts and subtrees are read again, scores and rows are not."""
+    stored = []
+    monkeypatch.setattr(context_tree, "cut", lambda df: stored.append(df.columns) or cut(df))
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(20)], "doc_id long, text string")
+    assert context_tree.score(docs).count() == 20
+    assert stored == [["kind", "key", "n"], ["kind", "key", "n", "p", "n0", "n1", "weight"]]
+
+
+def test_a_long_text_scores_in_steps_as_in_one(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefgh \n") for _ in range(2 * context_tree.STEP_BYTES + 7))
+    rows = [(1, long), (2, long[: context_tree.STEP_BYTES]), (3, long[::-1]), (4, None)]  # 3 is held out
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = context_tree.learn(context_tree.training_counts(docs))
+    got = {x.doc_id: x for x in context_tree.score(docs).collect()}
+    for i, t in rows:
+        number, _ = context_tree.grams([(t or "").encode()])
+        assert got[i].score == pytest.approx(float(model.log10(number).sum()), rel=1e-6) and got[i].n_tokens == len(words(t or "")) + 1
+
+
+def test_runs_are_counted_in_bounded_memory(monkeypatch):
+    """Steps of a long text give the runs of the whole text, and the arrays of distinct runs stay small."""
+    text = random.Random(6).randbytes(12 << 20).replace(b"\xff", b" ")
+    table, n, sent = context_tree.RunCounts(1 << 20), 0, Counter()
+    tracemalloc.start()
+    for number, _ in context_tree.gram_steps([text]):
+        n += len(number)
+        if table.add(number, 1):
+            keys, times = table.sums()
+            sent["runs"] += int(times.sum())
+            table.clear()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) + 1 == sent["runs"] + int(table.sums()[1].sum())
+    assert peak < 150e6
+    monkeypatch.setattr(context_tree, "STEP_BYTES", 100)
+    for size in (0, 1, 99, 100, 101, 250, 300):
+        small = text[:size]
+        assert np.concatenate([x for x, _ in context_tree.gram_steps([small])]).tolist() == context_tree.grams([small])[0].tolist()
+    table, want = context_tree.RunCounts(1 << 20), Counter()
+    for i, part in enumerate([text[:300] * 2, b"abab", text[:50]]):
+        number, _ = context_tree.grams([part])
+        table.add(number, i % 2)
+        want.update({k: 0 for k in number.tolist()} if not i % 2 else Counter(number.tolist()))
+    assert dict(zip(*(x.tolist() for x in table.sums()), strict=True)) == dict(want)
+
+
 def test_word_caches_are_bounded_in_bytes():
     known = context_tree.WordHashes()
     assert len(known.of([b"x" * 1_000_000, b"a", b"b" * 64])) == 3 and sorted(known) == [b"a", b"b" * 64]
