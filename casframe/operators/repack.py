@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,37 +54,83 @@ def window_pairs(ranked: DataFrame, window: int = WINDOW) -> DataFrame:
     return ranked.select("id", "rn").join(offers, "rn")
 
 
-#: Ranks that one task of pair_sizes reads in a row, with the WINDOW before them.
+#: Ranks that one task sizes in a row, with the WINDOW before them.
 STRETCH = 256
 
 
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of the deltas of each row from those before it; the last WINDOW rows are held, each with its index."""
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, int, str, bytes, list[tuple[int, str, int]]]]:
+    """at, only_base, rn, id and text of each row with (back, base_id, size) of the deltas from those before it, the nearest first;
+    the last WINDOW rows are held, each with its index.  A rank that comes again is the same text and is passed over."""
     last: deque = deque(maxlen=WINDOW)
     stretch = None
     for b in batches:
-        out = []
-        for at, only_base, rn, id_, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for at, only_base, rn, id_, data in zip(*b.columns, strict=True):
+            at, only_base, rn, id_, data = at.as_py(), only_base.as_py(), rn.as_py(), id_.as_py(), data.as_py()
             if at != stretch:
                 stretch = at
                 last.clear()
+            elif last and last[-1][0] == rn:
+                continue
+            sizes = []
             if not only_base:
-                out += [(id_, rn, i, rn - n, len(codecs.pack_delta(i, delta.encode(base, data, places)))) for n, i, base, places in last if rn - n <= WINDOW]
+                keys = delta.keys_of(data, 0, len(data)) if len(data) <= delta.PIECE else None
+                sizes = [(rn - n, i, len(codecs.pack_delta(i, delta.encode(base, data, index, keys)))) for n, i, base, index in reversed(last) if rn - n <= WINDOW]
             last.append((rn, id_, data, delta.index_of(data)))
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["id", "rn", "base_id", "back", "delta_bytes"])
+            yield at, only_base, rn, id_, data, sizes
+
+
+def _stretched(ranked: DataFrame, canonical: DataFrame, on: list[str]) -> DataFrame:
+    """(at, only_base, rn, id, canonical): ranks are cut into stretches; a text moves once, and once more where it is a base for the next stretch."""
+    own = (F.col("rn") / STRETCH).cast("long")
+    stretches = F.array_distinct(F.array(own, ((F.col("rn") + WINDOW) / STRETCH).cast("long")))
+    rows = canonical.join(ranked.select(*on, "rn"), on).withColumn("at", F.explode(stretches))
+    n = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.select("at", (F.col("at") != own).alias("only_base"), "rn", "id", "canonical").repartition(n, "at").sortWithinPartitions("at", "rn")
 
 
 def pair_sizes(ranked: DataFrame, canonical: DataFrame) -> DataFrame:
-    """The pairs of the window (id, rn, base_id, back) with delta_bytes, the stored size of the delta; canonical is (id, canonical).
+    """The pairs of the window (id, rn, base_id, back) with delta_bytes, the stored size of the delta; canonical is (id, canonical)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+        frame = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["id", "rn", "base_id", "back", "delta_bytes"])
+        for _, _, rn, id_, _, sizes in _sized(batches):
+            out += [(id_, rn, base_id, back, n) for back, base_id, n in sizes]
+            if len(out) >= 10_000:
+                yield frame()
+                out = []
+        yield frame()
+
+    return _stretched(ranked, canonical.select("id", "canonical"), ["id"]).mapInArrow(run, "id string, rn long, base_id string, back int, delta_bytes long")
+
+
+def sized_stretches(ranked: DataFrame, canonical: DataFrame, on: list[str]) -> DataFrame:
+    """(at, ids, bases, numbers), one row for each stretch of ranks, in their order.
 
-    Ranks are cut into stretches; a text moves once, and once more where it is a base for the next stretch.
+    ids are those of the bases from the stretch before, as many as bases says, and the stretch's own; numbers has
+    1 + WINDOW longs for each own one: its size whole, and as a delta from the one back 1, 2, ..., 0 where there is none.
     """
-    own = (F.col("rn") / STRETCH).cast("long")
-    stretches = F.array_distinct(F.array(own, ((F.col("rn") + WINDOW) / STRETCH).cast("long")))
-    rows = ranked.select("id", "rn").join(canonical.select("id", "canonical"), "id").withColumn("at", F.explode(stretches))
-    rows = rows.select("at", (F.col("at") != own).alias("only_base"), "rn", "id", "canonical").repartition("at").sortWithinPartitions("at", "rn")
-    return rows.mapInArrow(_sized, "id string, rn long, base_id string, back int, delta_bytes long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            packed = np.array(numbers, "<i8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([stretch], pa.int64()), pa.array([ids], pa.list_(pa.string())), pa.array([len(ids) - len(numbers)], pa.int32()), pa.array([packed], pa.binary())], names=["at", "ids", "bases", "numbers"])
+
+        stretch, ids, numbers = None, [], []
+        for at, only_base, _, id_, data, sizes in _sized(batches):
+            if at != stretch:
+                if numbers:
+                    yield row()
+                stretch, ids, numbers = at, [], []
+            ids.append(id_)
+            if not only_base:
+                of = {back: n for back, _, n in sizes}
+                numbers.append([len(codecs.pack_full(data)), *(of.get(k, 0) for k in range(1, WINDOW + 1))])
+        if numbers:
+            yield row()
+
+    return _stretched(ranked, canonical, on).mapInArrow(run, "at long, ids array<string>, bases int, numbers binary")
 
 
 def full_sizes(canonical: DataFrame) -> DataFrame:
@@ -155,6 +202,50 @@ def plan_frame(ranked: DataFrame, sizes: DataFrame, full: DataFrame) -> DataFram
     return ranked.sparkSession.createDataFrame(made, "id string, form string, base_id string, before long, after long, depth int")
 
 
+def choose(numbers: np.ndarray, before: deque) -> tuple[bytes, bytes]:
+    """The greedy choice over one stretch of objects that are stored whole: how far back the base of each is, 0 for none, and the depths.
+
+    before has the depths of the last WINDOW ranks, the newest first, and is carried on.  Without stored deltas each
+    chain leads to lower ranks, so none comes back to where it began, and these depths are all that matters.
+    """
+    backs, depths = bytearray(), bytearray()
+    for full, *sizes in numbers.reshape(-1, 1 + WINDOW).tolist():
+        best, back = full, 0
+        for k in range(len(before), 0, -1):
+            if 0 < sizes[k - 1] < best and before[k - 1] < MAX_WRITE_DEPTH:
+                best, back = sizes[k - 1], k
+        if not saves_enough(full, best):
+            back = 0
+        depth = before[back - 1] + 1 if back else 0
+        backs.append(back)
+        depths.append(depth)
+        before.appendleft(depth)
+    return bytes(backs), bytes(depths)
+
+
+def plan_of_stretches(stretches: DataFrame) -> DataFrame:
+    """The plan of objects that are stored whole, as plan_frame has it.
+
+    The driver sees the sizes alone, one partition of stretches at a time and in order, and keeps two bytes for each object.
+    """
+    before: deque = deque(maxlen=WINDOW)
+    chosen = [(r["at"], *map(bytearray, choose(np.frombuffer(r["numbers"], "<i8"), before))) for r in stretches.select("at", "numbers").orderBy("at").toLocalIterator()]
+    choices = stretches.sparkSession.createDataFrame(chosen, "at long, backs binary, depths binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "form", "base_id", "before", "after", "depth"]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+        for b in batches:
+            for ids, bases, packed, backs, depths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out = []
+                for i, (sizes, back, depth) in enumerate(zip(np.frombuffer(packed, "<i8").reshape(-1, 1 + WINDOW).tolist(), backs, depths, strict=True), bases):
+                    out.append((ids[i], "delta" if back else "keep", ids[i - back] if back else None, sizes[0], sizes[back], depth))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
+
+    rows = stretches.join(F.broadcast(choices), "at").select("ids", "bases", "numbers", "backs", "depths")
+    return rows.mapInArrow(run, "id string, form string, base_id string, before long, after long, depth int")
+
+
 def stats(choices: DataFrame) -> DataFrame:
     """rewritten, before, after and percent saved of the choices that change something."""
     some = choices.where("form <> 'keep'").agg(F.count("*").alias("rewritten"), F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.coalesce(F.sum("after"), F.lit(0)).alias("after"))
