@@ -1,10 +1,12 @@
 """Queries against their SQL on tables that the standard ones do not have: shared and missing ids, empty and missing texts."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from casframe import plans
+from casframe.functions import lexical, pdf
 from casframe.operators import search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -53,3 +55,21 @@ def test_printable_filter_of_empty_and_missing_texts(spark, tmp_path):
     assert got == want and "(1, nan, True)" in got and "(2, None, None)" in got and "(7, 1.0, True)" in got
     got, want = compared(spark, tmp_path, "tokenize_tf")
     assert got == want and len(got) == 5
+
+
+def test_embedding_of_many_texts_at_once():
+    """Hashes, places and sums were taken token by token; together they give the same bytes, also where three tokens meet in a bucket."""
+    texts = [" ".join(f"w{i * k % 1500}" for i in range(1400)) for k in (1, 3, 7)] + ["", "the of", "é" * 100 + " x x x " + "y" * 65]
+    for text, made in zip(texts, lexical.embed_each(texts), strict=True):
+        want = np.zeros(512, np.float32)
+        for token, n in sorted(lexical.term_counts(text).items()):
+            sign = 1 if lexical.fnv1a(b"sign:" + token.encode()) % 2 == 0 else -1
+            want[lexical.fnv1a(token.encode()) % 512] += np.float32(1 + np.log(n)) * np.float32(sign)
+        norm = np.float32(np.sqrt((want.astype(float) ** 2).sum()))
+        assert (made == (want / norm if norm else want)).all() and made.dtype == np.float32
+    row, bucket, weight = lexical.weights(texts)
+    for i, made in enumerate(lexical.embed_each(texts)):
+        dense = np.zeros(512)
+        dense[bucket[row == i]] = weight[row == i]
+        assert np.allclose(dense, made, atol=1e-6)
+    assert pdf.printable_share("".join(map(chr, range(200)))) == (200 - 33 - 33 + 3 - 1) / 200
