@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casframe import plans
 from casframe.functions import lexical, pdf
-from casframe.operators import search
+from casframe.operators import diff, search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,3 +73,11 @@ def test_embedding_of_many_texts_at_once():
         dense[bucket[row == i]] = weight[row == i]
         assert np.allclose(dense, made, atol=1e-6)
     assert pdf.printable_share("".join(map(chr, range(200)))) == (200 - 33 - 33 + 3 - 1) / 200
+
+
+def test_tasks_of_a_comparison_grow_in_number(spark, monkeypatch):
+    """Adaptive plans merged all to about one task a core, so that a task's memory grew with the input."""
+    monkeypatch.setattr(diff, "ROWS", 1000)
+    frame = plans.queries()["empty_dir_suppression"](spark, "/root/testdata/sf0.001")
+    assert frame.rdd.getNumPartitions() >= 7
+    assert {r.status for r in frame.select("status").distinct().collect()} == {"A", "D"}
